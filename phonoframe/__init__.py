@@ -1,0 +1 @@
+"""Pronunciation analytics on Spark DataFrames."""
