@@ -123,14 +123,15 @@ def candidates(s: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    t = F.col("text")
-    doc = lambda make: lambda s, d: read(s, d, "documents").select("doc_id", F.md5(make(t).cast("binary")).alias("digest"))
+    # columns are made when a query runs: without a session there are none
+    t = lambda: F.col("text")
+    doc = lambda make: lambda s, d: read(s, d, "documents").select("doc_id", F.md5(make(t()).cast("binary")).alias("digest"))
     order = lambda make: lambda s, d: read(s, d, "orders").select("o_orderkey", make().alias("words"))
     return {
         "oov_audit": oov_audit,
-        "oov_distinct_in_order": lambda s, d: read(s, d, "conversations").select("conv_id", "turn", F.array_join(vocab.unknown_symbols(t), "").alias("unknown")),
-        "encode_ids": lambda s, d: read(s, d, "benchmark").select("item_id", F.array_join(vocab.encode(t), " ").alias("ids")),
-        "decode_ids": lambda s, d: read(s, d, "benchmark").select("item_id", vocab.decode(F.concat(vocab.encode(t), F.array(F.lit(250)))).alias("text")),
+        "oov_distinct_in_order": lambda s, d: read(s, d, "conversations").select("conv_id", "turn", F.array_join(vocab.unknown_symbols(t()), "").alias("unknown")),
+        "encode_ids": lambda s, d: read(s, d, "benchmark").select("item_id", F.array_join(vocab.encode(t()), " ").alias("ids")),
+        "decode_ids": lambda s, d: read(s, d, "benchmark").select("item_id", vocab.decode(F.concat(vocab.encode(t()), F.array(F.lit(250)))).alias("text")),
         "tag_strip": lambda s, d: read(s, d, "pages").select("page_id", F.md5(vocab.strip_tags(F.col("html")).cast("binary")).alias("digest")),
         "char_replacements": doc(ipatext.replace_characters), "punct_spacing": doc(ipatext.tighten_punctuation), "quote_collapse": doc(ipatext.collapse_quotes),
         "affricate_fold": doc(ipatext.fold_affricates), "terminal_dot": doc(ipatext.close_sentence),
