@@ -19,6 +19,8 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,8 @@ from phonoframe.llm.common import cut, shared_dir
 
 MAGIC = b"PLN1"
 CHUNK_IDS = 1 << 16
-SLICE_BYTES = 8_000_000  # text that is tokenized at once
-CACHE_WORDS = 400_000  # words whose ids a worker remembers; the memory is emptied when full
+SLICE_BYTES = 2_000_000  # text that is tokenized at once
+CACHE_WORDS = 300_000  # words whose ids a worker remembers; the memory is emptied when full
 END_ID = 1
 
 
@@ -38,7 +40,8 @@ class Encoder:
     """Ids of whole texts, word by word.
 
     The tokenizer splits at white space, and its normalisation never looks across it, so a text's ids are those of its
-    words between ASCII white space, and each different word is encoded once.
+    words between ASCII white space, and each different word is encoded once. It also splits between a letter and `.,;:!?`
+    and lower-cases, so such marks count as words, and words of ASCII are lower-cased before they are looked up.
     """
 
     def __init__(self, path: str) -> None:
@@ -46,34 +49,56 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}  # place of a word's ids in begin and size
+        self.begin, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def learn(self, words: list[str]) -> None:
+        ids: list[np.ndarray] = []
+        size: list[int] = []
+        for at in range(0, len(words), 4096):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(words[at : at + 4096], add_special_tokens=False)]
+            size += map(len, found)
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint32))
+        n, sizes = len(self.known), np.array(size, np.int64)
+        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+        self.begin = np.concatenate((self.begin, len(self.pool) + np.cumsum(sizes) - sizes))
+        self.size = np.concatenate((self.size, sizes))
+        self.pool = np.concatenate((self.pool, *ids))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each text); nulls count as empty."""
         import pyarrow.compute as pc
 
-        words = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
-        flat = words.flatten().dictionary_encode()
-        names, code = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False)
-        if len(self.known) + len(names) > CACHE_WORDS:
-            self.known.clear()
+        spaced = pc.replace_substring_regex(pc.fill_null(texts.cast(pa.large_string()), ""), "([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?])", r"\1 \2")
+        words = pc.ascii_split_whitespace(spaced)
+        flat = words.flatten()
+        flat = pc.if_else(pc.string_is_ascii(flat), pc.ascii_lower(flat), flat).dictionary_encode()
+        names = flat.dictionary.to_pylist()
         new = [w for w in names if w not in self.known]
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, np.uint32)
-        ids = [self.known[w] for w in names]
-        size = np.array([len(x) for x in ids], np.int64)
-        begin = np.cumsum(size) - size
-        pool = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        if self.known and len(self.known) + len(new) > CACHE_WORDS:
+            self.forget()
+            new = names
+        if new:
+            self.learn(new)
+        place = np.fromiter((self.known[w] for w in names), np.int64, len(names))
+        begin, size, code = self.begin[place], self.size[place], flat.indices.to_numpy(zero_copy_only=False)
         each = size[code]
         ends = np.cumsum(each)
         total = int(ends[-1]) if len(ends) else 0
-        out = pool[np.arange(total) + np.repeat(begin[code] - (ends - each), each)]
+        out = self.pool[np.arange(total) + np.repeat(begin[code] - (ends - each), each)]
         edge = np.concatenate(([0], ends))[np.asarray(words.offsets) - words.offsets[0].as_py()]
         return out, np.diff(edge)
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The encoder of this worker: later tasks go on with its words."""
+    return Encoder(path)
+
+
 def planes(ids: np.ndarray, kind: str) -> list[bytes]:
     """The planes of one chunk, lowest first, without those above the highest set bit."""
     top = int(ids.max()).bit_length() if len(ids) else 0
@@ -167,7 +192,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
         import pyarrow.compute as pc
         from pyspark import TaskContext
 
-        encoder, sink, n_docs, n_ids = Encoder(tokenizer), None, 0, 0
+        coder, sink, n_docs, n_ids = encoder(tokenizer), None, 0, 0
         shard = TaskContext.get().partitionId()
         store, root = _open(folder)
         path = f"{root}/ids-{shard:06d}-{uuid.uuid4().hex}.pln"
@@ -177,7 +202,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
             while a < batch.num_rows:
                 b = max(a + 1, int(np.searchsorted(sizes, sizes[a] + SLICE_BYTES)) - 1)
                 b = min(b, batch.num_rows)
-                ids, counts = encoder.encode(batch.column(1).slice(a, b - a))
+                ids, counts = coder.encode(batch.column(1).slice(a, b - a))
                 ids = np.insert(ids, np.cumsum(counts), END_ID)
                 if sink is None:
                     store.create_dir(root, recursive=True)
