@@ -20,7 +20,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from phonoframe.llm.common import cut, shared_dir
 MAGIC = b"PLN1"
 CHUNK_IDS = 1 << 16
 SLICE_BYTES = 2_000_000  # text that is tokenized at once
-CACHE_WORDS = 300_000  # words whose ids a worker remembers; the memory is emptied when full
+CACHE_WORDS = 1_000_000  # words whose ids a worker remembers, in about 250 MB; the memory is emptied when full
 END_ID = 1
 
 
@@ -77,13 +77,14 @@ class Encoder:
         flat = words.flatten()
         flat = pc.if_else(pc.string_is_ascii(flat), pc.ascii_lower(flat), flat).dictionary_encode()
         names = flat.dictionary.to_pylist()
-        new = [w for w in names if w not in self.known]
-        if self.known and len(self.known) + len(new) > CACHE_WORDS:
-            self.forget()
-            new = names
-        if new:
-            self.learn(new)
-        place = np.fromiter((self.known[w] for w in names), np.int64, len(names))
+        place = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        new = np.nonzero(place < 0)[0]
+        if len(new):
+            if self.known and len(self.known) + len(new) > CACHE_WORDS:
+                self.forget()
+                new = np.arange(len(names))
+            place[new] = len(self.known) + np.arange(len(new))
+            self.learn([names[k] for k in new.tolist()])
         begin, size, code = self.begin[place], self.size[place], flat.indices.to_numpy(zero_copy_only=False)
         each = size[code]
         ends = np.cumsum(each)
