@@ -171,3 +171,20 @@ def test_token_files(spark, tmp_path, kind):
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     assert [r.doc_id for r in got] == sorted(texts)
+
+
+@pytest.mark.parametrize("memory", [3, 1_000_000])
+def test_encoder_equals_tokenizer(monkeypatch, memory):
+    import random
+
+    import pyarrow as pa
+    import public_tokenizers
+
+    monkeypatch.setattr(tokenout, "CACHE_WORDS", memory)
+    coder, rng = tokenout.Encoder(public_tokenizers.path("word_bpe_49k.json")), random.Random(3)
+    pieces = ["a", "H", "T", "J", "̌", "̱", "̈", "́", "̸", "̇", "İ", "I", "Å", *".,;:!?'<>-_", "'S", "ll", "É", "ß", "ſ", "ﬁ", "1", "½", "日", "👍", "‍", "\x00", "\x1c", " ", " ", "\n", " ", " "]
+    for _ in range(20):
+        texts = [None, "", *("".join(rng.choices(pieces, k=rng.randint(0, 30))) for _ in range(100))]
+        ids, counts = coder.encode(pa.array(texts, pa.string()))
+        want = [e.ids for e in coder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
