@@ -24,6 +24,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_sized(df: DataFrame) -> DataFrame:
+    """As cut, without the size that Spark estimates for df: a checkpoint keeps it, and in a loop of joins it is a product of
+    all earlier sizes, a number whose digits multiply in each round until planning no longer ends."""
+    done = cut(df)
+    return DataFrame(df.sparkSession._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), df.sparkSession)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

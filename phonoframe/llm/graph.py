@@ -7,7 +7,7 @@ import random
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phonoframe.llm.common import cut
+from phonoframe.llm.common import cut_sized
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", seed: int = 7) -> DataFrame:
@@ -24,20 +24,20 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", s
     rng = random.Random(seed)
     clean = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).where("a is not null and b is not null")
     loops = clean.where("a = b").select(F.col("a").alias("node")).distinct()
-    live = cut(clean.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    live = cut_sized(clean.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = None
     while not live.isEmpty():
         mask = F.lit(rng.getrandbits(63))
         both = live.union(live.select("b", "a"))
         choice = both.groupBy("a").agg(F.min(F.col("b").bitwiseXOR(mask)).alias("m"))
-        choice = cut(choice.select(F.col("a").alias("v"), F.least("m", F.col("a").bitwiseXOR(mask)).bitwiseXOR(mask).alias("r")))
+        choice = cut_sized(choice.select(F.col("a").alias("v"), F.least("m", F.col("a").bitwiseXOR(mask)).bitwiseXOR(mask).alias("r")))
         moved = live.join(choice, F.col("a") == F.col("v")).select(F.col("r").alias("a"), "b")
         moved = moved.join(choice, F.col("b") == F.col("v")).select("a", F.col("r").alias("b")).where("a <> b")
-        live = cut(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        live = cut_sized(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if labels is None:
             labels = choice.select(F.col("v").alias("node"), F.col("r").alias("label"))
         else:
-            labels = cut(labels.join(choice, F.col("label") == F.col("v"), "left").select("node", F.coalesce("r", "label").alias("label")))
+            labels = cut_sized(labels.join(choice, F.col("label") == F.col("v"), "left").select("node", F.coalesce("r", "label").alias("label")))
     if labels is None:
         return loops.select("node", F.col("node").alias("component"))
     least = labels.groupBy("label").agg(F.min("node").alias("component"))

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phonoframe.llm import similar
 from phonoframe.llm.common import bounded_sample, cut
 from phonoframe.llm.graph import connected_components
 
@@ -265,23 +266,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marks.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_distance: int = 8) -> DataFrame:
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """docs without all but one document of each class: the one with the smallest id stays, with all its columns.
 
-    Rows that repeat an id are copies of each other: one of them stays. Rows with a null id can't be told apart by id;
-    all of them stay, unless a document with an id is in their class.
+    A class is a component of texts whose sets of word shingles have a similarity of 0.8 or more. Rows are told apart by id
+    and text: rows that repeat both are one; a null id comes after all others.
     """
-    classes = cut(near_duplicates(docs, id_col, text_col, shingle, max_distance))
-    ident = F.col(id_col).cast("long")
-    gone = classes.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    twice = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice"))
-    kept = docs.where(ident.isNotNull()).join(gone, ident == F.col("__gone"), "left_anti")
-    if not twice.isEmpty():
-        again = kept.join(twice, ident == F.col("__twice"), "left_semi")
-        kept = kept.join(twice, ident == F.col("__twice"), "left_anti").union(again.dropDuplicates([id_col]))
-    nulls = docs.where(ident.isNull())
-    if classes.where("doc_id is null").isEmpty():
-        return kept
-    lonely = classes.where("component_id is null").select("fp").distinct()
-    marked = fingerprints(nulls.select(F.lit(0).alias("doc_id"), F.col(text_col).alias("text")), shingle=shingle).select(F.col("fp"))
-    return kept if marked.join(lonely, "fp", "left_semi").isEmpty() else kept.union(nulls)
+    held = cut(similar.sets(docs, id_col, text_col, shingle))
+    classes = held.select("key", "doc_id", "s").join(similar.components(held), F.col("s") == F.col("node"), "left")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "key"))
+    stays = cut(classes.groupBy(F.coalesce("component", "s").alias("class")).agg(first.alias("f")).select(F.col("f.key").alias("__key")))
+    kept = docs.withColumn("__key", similar.row_key(id_col, text_col)).join(stays, "__key", "left_semi")
+    twice = cut(held.groupBy("key").count().where("count > 1").select(F.col("key").alias("__key")))
+    again = kept.join(twice, "__key", "left_semi").dropDuplicates(["__key"])
+    return kept.join(twice, "__key", "left_anti").union(again).select(docs.columns)

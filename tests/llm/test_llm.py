@@ -53,6 +53,38 @@ def test_simhash_odd_rows(spark):
     assert simhash.near_duplicates(rows.limit(0)).count() == 0
 
 
+def test_copies_are_all_pairs_of_similar_texts(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = np.array([f"w{k}" for k in range(3000)])
+    passage = rng.choice(vocabulary, 40)
+    texts = []
+    for k in range(60):
+        base = np.concatenate([rng.choice(vocabulary, 160), passage if k % 3 == 0 else passage[:0]])
+        texts.append(base)
+        for edits in (1, 2, 3, 4, 5, 6)[: k % 7]:  # similarities on both sides of 0.8
+            texts.append(base.copy())
+            texts[-1][rng.choice(len(base), edits, replace=False)] = "zz"
+    hub = rng.choice(vocabulary, 200)
+    for _ in range(150):  # one large group of near copies
+        texts.append(hub.copy())
+        texts[-1][rng.choice(200, 3, replace=False)] = rng.choice(vocabulary, 3)
+    held = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(held[a] & held[b]) * 5 >= 4 * len(held[a] | held[b]) and label[a] != label[b]:
+                lo, hi = sorted((label[a], label[b]))
+                label = [lo if x == hi else x for x in label]
+    kept = simhash.drop_copies(docs(spark, [(k, " ".join(t)) for k, t in enumerate(texts)]))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
+
+
+def test_copies_of_repeated_and_null_ids(spark):
+    one, two, three = ("a b c d e f g h", "k l m n o p q r", "s t u v w x y z")
+    kept = simhash.drop_copies(docs(spark, [(1, one), (2, one), (2, two), (None, three), (None, three), (None, one), (2, two)]))
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, three), (1, one), (2, two)]
+
+
 def test_quality(spark):
     good = [(k, "Plain words stand in this line, as they do.\nAnd here is one more line of it.") for k in range(40)]
     bad = [(k, "BUY!! NOW!! %%% $$$\nBUY!! NOW!! %%% $$$") for k in range(40, 80)]
