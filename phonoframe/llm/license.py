@@ -25,6 +25,7 @@ TEMPLATES = [
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("cc by nc",)),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use",)),
 ]
+VOCABULARY = sorted({x for _, t, _ in TEMPLATES for x in t.split(" ")})
 AGREE = 0.7  # share of a template's IDF that must agree on one beginning
 RARE = 4  # licence words by which a template is looked up: its rarest in the corpus
 SPLIT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -50,9 +51,8 @@ def _starts(w: Column, phrase: str) -> Column:
 
 def _places(w: Column) -> Column:
     """Places of the base phrases, places of licence words, and the key phrases that stand in a text's words."""
-    vocabulary = sorted({x for _, t, _ in TEMPLATES for x in t.split(" ")})
     base = F.concat(*[F.transform(_starts(w, p), _labelled(label)) for p, label in PHRASES.items()])
-    rare = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("at"))), lambda s: s["w"].isin(vocabulary))
+    rare = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("at"))), lambda s: s["w"].isin(VOCABULARY))
     keys = sorted({k for _, _, ks in TEMPLATES for k in ks})
     held = F.filter(F.array(*[F.when(F.size(_starts(w, k)) > 0, F.lit(k)) for k in keys]), lambda k: k.isNotNull())
     return F.struct(base.alias("base"), rare.alias("rare"), held.alias("held"))
@@ -71,17 +71,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     gate = text.rlike("(?i)licen[sc]e|permission|redistribution|apache|gnu")  # no key or base phrase lacks all of these, but for cc by nc
-    gate = gate | text.rlike(r"(?i)\bcc\b")
+    gate = gate | text.rlike(r"(?i)(?<![0-9a-z\x80-\x{10FFFF}])cc(?![0-9a-z\x80-\x{10FFFF}])")
     lower = F.transform(words(text), lambda x: F.translate(x, UPPER, LOWER))
     placed = F.get(F.transform(F.array(lower), _places), F.lit(0))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("row"), F.size(words(text)).cast("long").alias("n_words"), F.when(gate, placed).alias("p"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("row"), F.size(words(text)).cast("long").alias("n_words"), F.when(gate, placed).alias("p"), F.array_intersect(lower, F.array(*[F.lit(w) for w in VOCABULARY])).alias("has"))
     rows = cut(rows)
     some = rows.where("p is not null").dropDuplicates(["row"]).select("row", "p.rare", "p.held")
     total = rows.count()
     session = docs.sparkSession
-    idf = some.select(F.explode(F.array_distinct(F.transform("rare", lambda s: s["w"]))).alias("w")).groupBy("w").agg(F.log((F.lit(total) + 1.0) / (F.count("*") + 0.5)).alias("idf"))
+    idf = rows.select(F.explode("has").alias("w")).groupBy("w").agg(F.log((F.lit(total) + 1.0) / (F.count("*") + 0.5)).alias("idf"))
     templates = session.createDataFrame([(label, w, at, list(keys)) for label, t, keys in TEMPLATES for at, w in enumerate(t.split(" "))], "label string, w string, place int, keys array<string>")
-    postings = templates.join(F.broadcast(idf), "w")  # at most as many rows as the templates have words
+    never = F.log((F.lit(total) + 1.0) / 0.5)  # words that no text holds
+    postings = templates.join(F.broadcast(idf), "w", "left").withColumn("idf", F.coalesce("idf", never))  # at most as many rows as the templates have words
     order = F.row_number().over(_by("label").orderBy(F.desc("idf"), "place"))
     postings = cut(postings.withColumn("rarity", order).withColumn("whole", F.sum("idf").over(_by("label"))))
     seen = some.select("row", "held", F.explode("rare").alias("s")).select("row", "held", F.col("s.w").alias("w"), F.col("s.at").alias("at"))

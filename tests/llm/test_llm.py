@@ -170,6 +170,18 @@ def test_licences(spark):
     assert got[4].n_words == 2 and got[5].n_base == 1
 
 
+def test_licence_weights_are_of_all_texts(spark):
+    part = "distributed under the mit license"
+    common = [(k, "the tale of words under glass") for k in range(10, 60)]  # no licence text: no gate word in it
+    got = {r.doc_id: r for r in license.scan(docs(spark, [(1, part), (2, "Licensed_under_CC_BY_NC_4_0"), *common])).collect()}
+    assert got[1].labels == []  # "released", a rare word of the template, is missing, and "under the" tells little
+    scan = license.scan(docs(spark, [(1, "under the mit license"), (3, "released"), *common])).collect()
+    idf = {w: np.log(53 / (n + 0.5)) for w, n in {"under": 51, "the": 51, "mit": 1, "license": 1, "released": 1}.items()}
+    share = sum(v for w, v in idf.items() if w != "released") / sum(idf.values())
+    assert 0.6 < share < license.AGREE and {r.doc_id: r.labels for r in scan}[1] == []
+    assert got[2].labels == ["cc-by-nc-4.0"]
+
+
 def test_decontamination(spark):
     item = "one two three four five six seven eight nine ten"
     rows = docs(spark, [(1, "x " * 500 + item.upper() + " y" * 500), (2, item.replace("ten", "zz")), (3, None), (4, "one two three"), (5, "short item"), (None, item)])
