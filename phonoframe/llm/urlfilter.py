@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from phonoframe.llm.common import cut
 from phonoframe.llm.graph import connected_components
 
+CANONICAL = r"""(?i)[\s"']rel\s*=\s*(?:"(?:[^"]*\s)?canonical[\s"]|'(?:[^']*\s)?canonical[\s']|canonical(?=[\s/>]))"""  # one of rel's words
 MAX_RULES = 10_000  # rules are part of the plan, so their number is bounded
 
 
@@ -35,37 +36,60 @@ def html_links(html: Column) -> Column:
     """Targets of canonical links and of redirects by a refresh header, as they are written."""
     html = F.coalesce(html.cast("string"), F.lit(""))
     attribute = r"""=\s*["']?([^"'\s>]+)"""
-    canonical = F.filter(F.regexp_extract_all(html, F.lit(r"(?i)<link\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"(?i)\brel\s*=\s*[\"']?canonical\b"))
+    canonical = F.filter(F.regexp_extract_all(html, F.lit(r"(?i)<link\b[^>]*>"), F.lit(0)), lambda t: t.rlike(CANONICAL))
     refresh = F.filter(F.regexp_extract_all(html, F.lit(r"(?i)<meta\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"(?i)\bhttp-equiv\s*=\s*[\"']?refresh\b"))
     found = F.concat(F.transform(canonical, lambda t: F.regexp_extract(t, r"(?i)\bhref" + attribute, 1)), F.transform(refresh, lambda t: F.regexp_extract(t, r"(?i)\burl" + attribute, 1)))
     return F.filter(F.transform(found, lambda u: F.replace(u, F.lit("&amp;"), F.lit("&"))), lambda u: u != "")
 
 
+def without_dots(path: Column) -> Column:
+    """A path without its segments `.` and `..`, as in RFC 3986; others stay as they are."""
+    parts = F.split(path, "/")
+    walked = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array().cast("array<string>"), lambda s, x: F.when(x == "..", F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0)))).when(x == ".", s).otherwise(F.concat(s, F.array(x))))
+    tail = F.when(path.rlike(r"/\.{1,2}$"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.when(path.rlike(r"/\.{1,2}(/|$)"), F.concat(F.lit("/"), F.array_join(F.concat(walked, tail), "/"))).otherwise(path)
+
+
 def address(url: Column) -> Column:
-    """A url without its fragment, its host in lower case; null where there is no `://`."""
-    host, _ = host_path(url)
-    return F.when(url.contains("://"), F.concat(F.regexp_extract(url, r"(?s)^(.*?://)", 1), host, F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)))
+    """A url without its fragment and dot segments, its host in lower case; null where there is no `://`."""
+    host, path = host_path(url)
+    return F.when(url.contains("://"), F.concat(F.regexp_extract(url, r"(?s)^(.*?://)", 1), host, without_dots(path), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)", 1)))
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """A link's target against the page's address; null for a fragment alone and for schemes without `://`."""
+    host, path = host_path(url)
+    origin = F.concat(F.regexp_extract(url, r"(?s)^(.*?://)", 1), host)
+    folder = F.concat(F.regexp_extract(path, r"(?s)^(.*)/", 1), F.lit("/"))
+    whole = F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:|^#"), None)
+    whole = whole.when(target.startswith("//"), F.concat(F.regexp_extract(url, r"(?s)^(.*?:)//", 1), target)).when(target.startswith("/"), F.concat(origin, target))
+    return whole.when(target.startswith("?"), F.concat(origin, path, target)).otherwise(F.concat(origin, folder, target))
 
 
 def verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", redirects: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict): a row per input row.
 
     redirects: more edges (src string, dst string) between urls, if any. Relative link targets are taken against the page's
-    host. Nodes are addresses, by a hash of 64 bits; a target that many pages share is one node with many edges. Rows with a
+    address. Every node of the links, crawled or not, is judged by the rules. Nodes are addresses, by a hash of 64 bits; a target that many pages share is one node with many edges. Rows with a
     null url, or without `://`, are allowed and have no aliases. Repeated rows are aliases of each other.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), (F.col(html_col) if html_col else F.lit(None)).alias("html"))
     host, path = host_path(F.col("url"))
     rows = rows.withColumn("host", host).withColumn("path", path).withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
-    origin = F.concat(F.regexp_extract("url", r"(?s)^(.*?://)", 1), "host")
-    whole = F.transform(html_links(F.col("html")), lambda t: F.when(t.contains("://"), t).when(t.startswith("//"), F.concat(F.regexp_extract("url", r"(?s)^(.*?:)//", 1), t)).when(t.startswith("/"), F.concat(origin, t)))
+    whole = F.transform(html_links(F.col("html")), lambda t: resolved(t, F.col("url")))
     rows = cut(rows.select("page_id", "host", "path", "best", F.xxhash64(address(F.col("url"))).alias("node"), address(F.col("url")).isNotNull().alias("named"), F.filter(F.transform(whole, address), lambda t: t.isNotNull()).alias("to")))
-    edges = rows.where("named and size(to) > 0").select(F.col("node").alias("src"), F.explode("to").alias("t")).select("src", F.xxhash64("t").alias("dst"))
+    edges = rows.where("named and size(to) > 0").select(F.col("node").alias("src"), F.explode("to").alias("t"))
+    targets, edges = edges.select("t"), edges.select("src", F.xxhash64("t").alias("dst"))
     if redirects is not None:
-        edges = edges.union(redirects.select(F.xxhash64(address(F.col("src").cast("string"))), F.xxhash64(address(F.col("dst").cast("string")))))
+        pair = redirects.select(address(F.col("src").cast("string")).alias("a"), address(F.col("dst").cast("string")).alias("b")).where("a is not null and b is not null")
+        edges = edges.union(pair.select(F.xxhash64("a"), F.xxhash64("b")))
+        targets = targets.union(pair.select(F.explode(F.array("a", "b"))))
+    there = host_path(F.col("t"))
+    judged = rows.where("named").select("node", "best").union(targets.distinct().select(F.xxhash64("t"), best_rule(*there, rules))).where("best is not null")
     linked = connected_components(edges).withColumnRenamed("node", "at")
     rows = rows.join(linked, (F.col("node") == F.col("at")) & F.col("named"), "left").withColumn("group", F.when(F.col("named"), F.coalesce("component", "node")))
-    said = rows.where("group is not null and best is not null").groupBy("group").agg(F.max(F.col("best.verdict") == "allow").alias("allowed"), F.max(F.col("best.verdict") == "block").alias("blocked")).withColumnRenamed("group", "g")
+    judged = judged.join(linked, F.col("node") == F.col("at"), "left").withColumn("group", F.coalesce("component", "node"))
+    said = judged.groupBy("group").agg(F.max(F.col("best.verdict") == "allow").alias("allowed"), F.max(F.col("best.verdict") == "block").alias("blocked")).withColumnRenamed("group", "g")
     rows = rows.join(said, F.col("group") == F.col("g"), "left")
     passed = F.when(F.coalesce("allowed", F.lit(False)), "allow").when(F.coalesce("blocked", F.lit(False)), "block").otherwise("allow")
     return rows.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", passed).alias("verdict"))

@@ -149,6 +149,23 @@ def test_urls(spark):
     assert {r.page_id: r.verdict for r in two.collect()} == {1: "block", 2: "block"}
 
 
+def test_urls_that_are_only_named_decide_too(spark):
+    from urllib.parse import urljoin
+
+    link = "<link rel='nofollow canonical' href='{}'>"
+    targets = ["https://x.net/a", "../de/../de/p", "page.html", "?a=b", "/de/q", "//w.org/fr/1", "./../../fr/", "p?u=http://x.net/", "..", "mailto:a@b.net", "#t"]
+    pages = [(10 * j + i, f"https://h{j}{i}.{top}{path}", link.format(t)) for j, (top, path) in enumerate([("example.com", ""), ("edu", "/x/y/z?q"), ("example.com", "/en/de/")]) for i, t in enumerate(targets) if len(targets) > i]
+    pages = [(k, u, h) for k, (_, u, h) in enumerate(pages)] + [(100, "https://r.edu/", None), (101, "https://s.edu/", link.format("https://t.org/fr/x")), (102, "https://u.edu/", None)]
+    redirects = spark.createDataFrame([("https://r.edu/", "https://b.net/"), ("https://s.edu/", "https://b.net/s"), (None, "https://b.net/")], "src string, dst string")
+    rule = lambda u: max(((len(h + p), v) for v, h, p in urlfilter.RULES if ("." + u.split("/")[2].split("?")[0]).endswith("." + h) and ("/" + "/".join(u.split("?")[0].split("/")[3:]) if u.count("/") > 2 else "").startswith(p)), default=(0, None))[1]
+    want = {100: "block", 101: "allow", 102: "allow"}
+    for k, u, h in pages[:-3]:
+        t = h.split("href='")[1].split("'")[0]
+        want[k] = rule(u) or (rule(urljoin(u, t)) if not t.startswith(("mailto", "#")) else None) or "allow"
+    got = urlfilter.verdicts(spark.createDataFrame(pages, "page_id long, url string, html string"), urlfilter.RULES, redirects=redirects)
+    assert {r.page_id: r.verdict for r in got.collect()} == want and list(want.values()).count("block") > 3
+
+
 def test_personal_data(spark):
     card = "4111 1111 1111 1111"
     text = f"é😀 a.b@c.de.x%y@z.org 1.2.3.4.5.6 999.1.1.1 0000255.0.0.01 | {card} | 4111111111111112 | +1 (988) 555-2485 | +1 2"
