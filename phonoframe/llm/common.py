@@ -43,3 +43,13 @@ def crc_bucket(id_col, modulus: int):
 def bounded_sample(df: DataFrame, n: int, key) -> DataFrame:
     """At most n rows, chosen by a hash of the key, the same ones at every run; each task sorts and sends n rows at most."""
     return df.orderBy(F.xxhash64(key), key).limit(n)
+
+
+def let(value, body):
+    """body of a Column that is computed once: one named within a lambda may be inlined, and then recomputed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def sized(df: DataFrame, limit: int) -> DataFrame:
+    """df, which is computed already, marked for a broadcast where it has at most `limit` rows."""
+    return F.broadcast(df) if df.count() <= limit else df
