@@ -7,8 +7,8 @@ term t gives about an entity e is PMI(e; t) = log2(p(e|t) / p(e)), with p(e|t) t
 stands in a context of e. It is measured against IC(e) = -log2 p(e): a term whose share of it reaches `remove` is removed,
 one that reaches `generalise` is replaced by a general term, in every text, whether the entity stands there or not.
 
-Copies are no evidence: contexts whose terms are alike, by the bands of a MinHash signature, are one class, and a term needs
-SUPPORT classes beside an entity. All of it is DataFrame expressions.
+Copies are no evidence: contexts whose terms are alike, found by the bands of a MinHash signature, are one class, and a term
+needs SUPPORT classes beside an entity. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -33,8 +33,9 @@ WORD = r"[\p{L}]+"
 SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 PASSAGE = 1000  # code points
 SUPPORT = 2  # classes of contexts in which a term must stand beside an entity
-REMOVE, GENERALISE = 0.9, 0.7  # shares of an entity's information beyond which a term is removed or generalised
-BANDS, WIDTH = 4, 2  # contexts whose terms have a Jaccard similarity of 0.8 share a band with a chance of 0.98, of 0.15 with 0.09
+REMOVE, GENERALISE = 0.95, 0.9  # shares of an entity's information beyond which a term is removed or generalised
+SAME = 0.4  # Jaccard similarity of the terms of contexts that are one class
+BANDS, WIDTH = 24, 3  # contexts whose terms have a Jaccard similarity of 0.5 share a band with a chance of 0.96
 BROADCAST_ROWS = 200_000  # rows of two longs up to which a side is broadcast
 BLOCK = 64
 
@@ -121,45 +122,59 @@ def _contexts(text: Column, spans: Column) -> Column:
     return F.transform(F.array_distinct(F.transform(spans, lambda s: F.floor(s["start"] / PASSAGE).cast("int"))), one)
 
 
+def _seeded(k: int):
+    return lambda x: F.xxhash64(x, F.lit(k))
+
+
 def _classes(contexts: DataFrame) -> DataFrame:
-    """(context, class) of (context, terms): contexts that share a band of their signature are of one class."""
-    least = [F.array_min(F.transform("terms", lambda x, k=k: F.xxhash64(x, F.lit(k)))) for k in range(BANDS * WIDTH)]
+    """(context, class) of (context, terms), rows that repeat a context being one: contexts that share a band of their
+    signature with the least one there, and enough of their terms, are of one class."""
+    least = [F.array_min(F.transform("terms", _seeded(k))) for k in range(BANDS * WIDTH)]
     bands = F.array(*[F.xxhash64(F.lit(b), *least[b * WIDTH : (b + 1) * WIDTH]) for b in range(BANDS)])
-    rows = cut(contexts.select("context", F.explode(bands).alias("band")).distinct())
-    first = rows.groupBy("band").agg(F.min("context").alias("least")).withColumnRenamed("band", "b")
-    edges = rows.join(first, F.col("band") == F.col("b")).select(F.col("context").alias("src"), F.col("least").alias("dst"))
-    return connected_components(edges).select(F.col("node").alias("context"), F.col("component").alias("class"))
+    contexts = cut(contexts.dropDuplicates(["context"]))
+    rows = cut(contexts.select("context", F.explode(bands).alias("band")))
+    first = rows.groupBy("band").agg(F.min("context").alias("least"))
+    pairs = rows.join(first, "band").where("context <> least").select("context", "least").distinct()
+    pairs = pairs.join(contexts, "context").join(contexts.select(F.col("context").alias("least"), F.col("terms").alias("others")), "least")
+    both, union = F.size(F.array_intersect("terms", "others")), F.size(F.array_union("terms", "others"))
+    edges = pairs.where(both >= union * SAME).select(F.col("context").alias("src"), F.col("least").alias("dst"))
+    linked = connected_components(edges)
+    return contexts.join(linked, F.col("context") == F.col("node"), "left").select("context", F.coalesce("component", "context").alias("class"))
 
 
 def disclosing(spotted: DataFrame, rows: DataFrame, remove: float, generalise: float) -> DataFrame | None:
-    """(row, told array<struct<term long, kind string>>): the disclosing terms of each text that holds any; None: there are none."""
-    each = spotted.where("size(contexts) > 0").select("row", F.explode("contexts").alias("c")).select("row", F.xxhash64(F.array_sort("c.terms")).alias("context"), "c.entities", "c.terms")
-    owned = each.select("row", F.explode("entities").alias("entity")).distinct()
+    """(row, told array<struct<term long, kind string>>): the disclosing terms of each text that holds any; None: there are none.
+
+    spotted: (uid, contexts), computed already, uid being unique; rows: (row, text).
+    """
+    each = spotted.where("size(contexts) > 0").select("uid", F.explode("contexts").alias("c")).select("uid", F.xxhash64(F.array_sort("c.terms")).alias("context"), "c.entities", "c.terms")
+    owned = each.select("uid", F.explode("entities").alias("entity")).distinct()
     often = cut(owned.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= SUPPORT))  # one text gives no more than one class
-    beside = each.select("row", "context", "terms", F.explode("entities").alias("entity")).join(sized(often, BROADCAST_ROWS), "entity")
-    beside = cut(beside.select("row", "context", "entity", "n_entity", "terms"))
+    beside = each.select("uid", "context", "terms", F.explode("entities").alias("entity")).join(sized(often, BROADCAST_ROWS), "entity")
+    beside = cut(beside.select("uid", "context", "entity", "n_entity", "terms"))
     if beside.isEmpty():
         return None
     classes = cut(_classes(beside.select("context", "terms")))
     several = beside.select("entity", "context").distinct().join(classes, "context").groupBy("entity").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("entity")
     several = cut(several)  # the others can't reach the support
     pairs = beside.join(sized(several, BROADCAST_ROWS), "entity", "left_semi").join(sized(classes, BROADCAST_ROWS), "context")
-    pairs = pairs.select("entity", "n_entity", "class", "row", F.explode("terms").alias("term")).distinct()
+    pairs = pairs.select("entity", "n_entity", "class", "uid", F.explode("terms").alias("term")).distinct()
     pairs = pairs.groupBy("entity", "term", "class").agg(F.count("*").alias("n"), F.max("n_entity").alias("n_entity"))
     pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("support"), F.max("n_entity").alias("n_entity"))
     pairs = cut(pairs.where(F.col("support") >= SUPPORT))
     terms = cut(pairs.select("term").distinct())
     if terms.isEmpty():
         return None
-    held = cut(rows.select("row", F.explode(term_hashes(F.col("text"))).alias("term")).join(sized(terms, BROADCAST_ROWS), "term").select("row", "term").distinct())
-    total = float(rows.select("row").distinct().count())
-    counts = held.groupBy("term").agg(F.count("*").alias("n_term"))
-    information = -F.log2(F.col("n_entity") / F.lit(total))
-    # a text counts once in n_both for each entity and class; one that stands in two classes counts twice, and no share is above 1
+    each_term = rows.select("row", F.explode(term_hashes(F.col("text"))).alias("term"))
+    counts = each_term.join(sized(terms, BROADCAST_ROWS), "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    information = -F.log2(F.col("n_entity") / F.lit(float(rows.count())))
+    # a text that stands in two classes counts twice in n_both, and no share is above 1
     share = 1 + F.log2(F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))) / information
     told = pairs.join(counts, "term").where(information > 0).withColumn("share", share).groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= generalise)
     told = cut(told.select("term", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("kind")))
-    return held.join(sized(told, BROADCAST_ROWS), "term").groupBy("row").agg(F.collect_list(F.struct("term", "kind")).alias("told"))
+    if told.isEmpty():
+        return None
+    return each_term.join(sized(told, BROADCAST_ROWS), "term").groupBy("row").agg(F.collect_set(F.struct("term", "kind")).alias("told"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
@@ -167,21 +182,21 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove
 
     row: a hash of id and text. base and added: array<struct<kind string, start int, end int, value string>>, places in code
     points, ends exclusive; base by kind as in KINDS, then start; added: secrets, then terms to generalise, then to remove,
-    each by start. Null texts are empty. Rows equal in id and text count once in the statistics and are found alike; null ids
+    each by start. Null texts are empty. Repeated rows count in the statistics and are found alike; null ids
     are kept. Ties of a share go to the stronger measure. An empty table gives no rows; other columns are ignored.
     """
     rows = keyed(docs, id_col, text_col)
     found = rows.withColumn("base", base_spans(F.col("text"))).withColumn("secrets", secrets(F.col("text")))
     found = found.withColumn("contexts", let(F.concat("base", "secrets"), lambda s: _contexts(F.col("text"), s)))
-    spotted = cut(found.select("row", "doc_id", "base", "secrets", "contexts"))
-    told = disclosing(spotted.select("row", "contexts"), rows.select("row", "text"), remove, generalise)
+    spotted = cut(found.select(F.monotonically_increasing_id().alias("uid"), "row", "doc_id", "base", "secrets", "contexts"))
+    told = disclosing(spotted.select("uid", "contexts"), rows.select("row", "text"), remove, generalise)
     if told is None:
         return spotted.select("row", "doc_id", "base", F.col("secrets").alias("added"))
     told = cut(told)
     texts = rows.select("row", "text").join(sized(told, BROADCAST_ROWS // 16), "row").dropDuplicates(["row"])
 
     def marked(m: Column) -> Column:
-        words = F.transform(matches(F.col("text"), WORD, "word"), lambda w: F.struct(F.get(F.map_values(F.map_filter(m, lambda k, _: k == F.xxhash64(F.lower(w["value"])))), F.lit(0)).alias("kind"), w["start"].alias("start"), w["end"].alias("end"), w["value"].alias("value")))
+        words = F.transform(matches(F.col("text"), WORD, "word"), lambda w: F.struct(F.try_element_at(m, F.xxhash64(F.lower(w["value"]))).alias("kind"), w["start"].alias("start"), w["end"].alias("end"), w["value"].alias("value")))
         return F.array_sort(F.filter(words, lambda s: s["kind"].isNotNull()))
 
     marks = texts.select("row", let(F.map_from_entries("told"), marked).alias("marks"))
