@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one in local mode, and
+    an error on a cluster, whose machines share no such folder."""
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not current.isDefined() and context.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if not current.isDefined():
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="phonoframe-"))
     return configured or context._jsc.sc().getCheckpointDir().get()
@@ -45,6 +48,14 @@ def bounded_sample(df: DataFrame, n: int, key) -> DataFrame:
     return df.orderBy(F.xxhash64(key), key).limit(n)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't use yet."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def let(value, body):
     """body of a Column that is computed once: one named within a lambda may be inlined, and then recomputed for each element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phonoframe.llm.common import bounded_sample, cut
+from phonoframe.llm.common import bounded_sample, cut, free_name
 
 TRAIN_ROWS = 6000  # labelled documents that the classifier is fitted on, at most
 VOCABULARY = 48  # the classifier's features: the tokens that tell most about the domain
@@ -51,13 +51,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     return domains, base, {w: {k: math.log(r[k] / (1 - r[k])) for k in domains} for w, r in rate.items()}
 
 
-def posteriors(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row_hash, n_tokens, p_<domain> for each domain); null texts have no tokens and the prior's posteriors."""
+def posteriors(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> DataFrame:
+    """(doc_id, row_hash, n_tokens, p_<domain> for each domain), and the column to keep as `whole`; null texts have no tokens
+    and the prior's posteriors."""
     domains, base, weights = model
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("row_hash"), tokens(F.col("text")).alias("w"))
+    kept = [F.col("whole")] if keep else []
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), *([F.col(keep).alias("whole")] if keep else []))
+    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("row_hash"), tokens(F.col("text")).alias("w"), *kept)
     vocabulary = F.array(*[F.lit(w) for w in weights]) if weights else F.array().cast("array<string>")
-    rows = rows.select("doc_id", "row_hash", F.size(F.filter("w", lambda x: x != "")).cast("long").alias("n_tokens"), F.array_intersect("w", vocabulary).alias("seen"))
+    rows = rows.select("doc_id", "row_hash", F.size(F.filter("w", lambda x: x != "")).cast("long").alias("n_tokens"), F.array_intersect("w", vocabulary).alias("seen"), *kept)
     for k in domains:
         table = F.create_map(*[x for w, by in weights.items() for x in (F.lit(w), F.lit(by[k]))]) if weights else F.create_map().cast("map<string,double>")
         rows = rows.withColumn(f"s_{k}", _sum(table, base[k]))
@@ -65,7 +67,7 @@ def posteriors(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "
     rows = rows.withColumn("top", top)
     odds = {k: F.exp(F.col(f"s_{k}") - F.col("top")) for k in domains}
     whole = sum(odds.values(), F.lit(0.0))
-    return rows.select("doc_id", "row_hash", "n_tokens", *[(odds[k] / whole).alias(f"p_{k}") for k in domains])
+    return rows.select("doc_id", "row_hash", "n_tokens", *[(odds[k] / whole).alias(f"p_{k}") for k in domains], *kept)
 
 
 def _sum(table: Column, start: float) -> Column:
@@ -93,27 +95,35 @@ def fit_rates(soft: DataFrame, domains: list[int], targets: dict[int, float], bu
     return rate, history
 
 
+def _model(docs: DataFrame, labels: DataFrame, targets: dict[int, float], id_col: str, text_col: str, label_col: str):
+    """(classifier, targets); without labels one domain that every document is of."""
+    model = train(docs, labels, id_col, text_col, label_col)
+    return (model, targets) if model[0] else (([0], {0: 0.0}, {}), {0: 1.0})
+
+
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[int, float], id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", budget: float | None = None) -> DataFrame:
     """(doc_id, row_hash, n_tokens, p_<domain>..., rate): a row per input row; equal rows have equal rates.
 
     targets: weight of each domain, of those that the labels hold; a domain without a target has the target 0. budget: tokens
     to reach in all, by default as many as there are. No labels: every rate is 1. An empty table gives no rows.
     """
-    model = train(docs, labels, id_col, text_col, label_col)
-    if not model[0]:
-        model = ([0], {0: 0.0}, {})
-        targets = {0: 1.0}
+    model, targets = _model(docs, labels, targets, id_col, text_col, label_col)
     soft = cut(posteriors(docs, model, id_col, text_col))
     rate, _ = fit_rates(soft, model[0], targets, budget)
     return soft.withColumn("rate", rate)
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[int, float], id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", budget: float | None = None) -> DataFrame:
-    """docs, each as often as its rate says: the whole part always, the rest with that chance by a hash of id and text."""
-    found = rates(docs, labels, targets, id_col, text_col, label_col, budget).select(F.col("row_hash").alias("__row"), F.col("rate").alias("__rate")).groupBy("__row").agg(F.max("__rate").alias("__rate"))
-    chance = F.pmod(F.xxhash64("__row", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    found = cut(found.select("__row", F.floor(F.col("__rate") + chance).cast("int").alias("__times")).where("__times <> 1"))
-    columns = docs.columns
-    row = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    joined = docs.join(found, row == F.col("__row"), "left").withColumn("__times", F.coalesce("__times", F.lit(1)))
-    return joined.where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in columns])
+    """docs, each as often as its rate says: the whole part always, the rest with that chance by a hash of id and text.
+
+    A rate is an expression of the document's own posteriors, so each row works out its own and no text is shuffled. Null texts
+    have no tokens and the prior's rate; repeated rows have one rate and one chance; no labels: every row once; an empty table
+    gives no rows. Columns and names are those of docs.
+    """
+    model, targets = _model(docs, labels, targets, id_col, text_col, label_col)
+    soft = cut(posteriors(docs, model, id_col, text_col))
+    rate, _ = fit_rates(soft, model[0], targets, budget)
+    chance = F.pmod(F.xxhash64("row_hash", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
+    whole = posteriors(docs.withColumn(free_name(docs, "__whole"), F.struct(*[F.col(f"`{c}`") for c in docs.columns])), model, id_col, text_col, free_name(docs, "__whole"))
+    times = whole.select("whole", F.floor(rate + chance).cast("int").alias("times")).where("times > 0")
+    return times.select("whole", F.explode(F.sequence(F.lit(1), F.col("times")))).select("whole.*")

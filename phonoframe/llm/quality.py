@@ -14,10 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phonoframe.llm.common import bounded_sample, crc_bucket
+from phonoframe.llm.common import bounded_sample, crc_bucket, free_name
 
 TRAIN_ROWS = 6000  # labelled documents that the model is fitted on, at most
 CHUNK_LINES = 64  # a training text is cut into sequences of so many lines
+TRAIN_CHUNKS = 4  # sequences of a text that the model is fitted on, spread evenly; scores always read whole texts
 SLICE_BYTES = 2_000_000  # text that is worked on at once
 UPPER, DIGIT, SPACE, BAR, BANG, STOP, SYMBOL = range(1, 8)
 CLASS = np.zeros(256, np.uint8)  # letters, and all bytes beyond ASCII, are 0
@@ -161,22 +162,30 @@ def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[byte
         yield start, held
 
 
+def _spread(lines: int) -> np.ndarray:
+    """Places of the lines that a training text gives."""
+    chunks = -(-lines // CHUNK_LINES)
+    picked = np.unique(np.linspace(0, chunks - 1, min(chunks, TRAIN_CHUNKS)).round().astype(int))
+    return np.concatenate([np.arange(c * CHUNK_LINES, min(lines, (c + 1) * CHUNK_LINES)) for c in picked])
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, held_out: tuple[int, int] | None, rows: int = TRAIN_ROWS) -> Model:
-    """Fitted on at most `rows` labelled documents whose id is outside the held-out fold. Null labels, ids and texts are left out."""
+    """Fitted on at most `rows` labelled documents whose id is outside the held-out fold, and on TRAIN_CHUNKS * CHUNK_LINES
+    lines of each, so what the driver gets is bounded in rows and bytes. Null labels, ids and texts are left out; an id that
+    is labelled both ways is 0; of rows that share an id the least text counts."""
     known = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id is not null and __y in (0, 1)")
     if held_out:
         known = known.where(crc_bucket(F.col("__id"), held_out[0]) != held_out[1])
     known = bounded_sample(known.groupBy("__id").agg(F.min("__y").alias("__y")), rows, F.col("__id"))
-    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(F.broadcast(known), "__id")
+    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(F.broadcast(known), "__id").groupBy("__id", "__y").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, some in _slices(batch, 0):
                 x, lines, size = line_features(some)
-                cuts = np.cumsum(lines)[:-1]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([np.hstack([a, b[:, None]]).astype(np.float32).tobytes() for a, b in zip(np.split(x, cuts), np.split(size, cuts), strict=True)], pa.binary()), batch.column(1).slice(start, len(some)),
-                ], ["x", "y"])
+                rows = np.hstack([x, size[:, None]]).astype(np.float32)
+                held = [part[_spread(len(part))].tobytes() for part in np.split(rows, np.cumsum(lines)[:-1])]
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), batch.column(1).slice(start, len(some))], ["x", "y"])
 
     got = texts.select("text", "__y").mapInArrow(run, "x binary, y int").collect()
     parts = [(np.frombuffer(r.x, np.float32).reshape(-1, WIDTH + 1).astype(float), r.y) for r in sorted(got, key=lambda r: (bytes(r.x), r.y))]
@@ -200,7 +209,9 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: tuple[int, int] | None = (4, 2), threshold: float = 0.7) -> DataFrame:
     """(id, held_out, score, predicted): a row per input row; ties and repeated rows score alike, null ids are never held out.
 
-    held_out (m, r): rows with crc32(id as text) mod m = r are kept from the training. No labels: every score is a half.
+    held_out (m, r): rows with crc32(id as text) mod m = r are kept from the training. No labels: every score is a half; one
+    label only: every score is near it. Null and empty texts are one empty line; a long text of one line is one line; an empty
+    table gives no rows; other columns are ignored.
     """
     model = train(docs, labels, id_col, text_col, label_col, held_out)
     rows = scored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), model)
@@ -209,6 +220,8 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: tuple[int, int] | None = (4, 2), threshold: float = 0.7) -> DataFrame:
-    """docs whose score reaches the threshold, with their own columns."""
-    model = train(docs, labels, id_col, text_col, label_col, held_out)
-    return scored(docs, model, text_col, "__score").where(F.col("__score") >= threshold).drop("__score")
+    """docs whose score reaches the threshold, with their own columns and names. Null and empty texts are scored as one empty
+    line; repeated rows go or stay together; without labels every score is a half, so none stays at the usual threshold; an
+    empty table gives no rows."""
+    model, name = train(docs, labels, id_col, text_col, label_col, held_out), free_name(docs, "__score")
+    return scored(docs, model, text_col, name).where(F.col(name) >= threshold).drop(name)

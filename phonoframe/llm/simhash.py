@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phonoframe.llm import similar
-from phonoframe.llm.common import bounded_sample, cut
+from phonoframe.llm.common import bounded_sample, cut, free_name, sized
 from phonoframe.llm.graph import connected_components
 
 BITS = 64
@@ -27,6 +27,7 @@ SEED = 42
 SAMPLE = 8192  # distinct fingerprints that the partitioning looks at; it affects speed only, never the links
 HOT_ROWS = 16384  # rows of one bucket beyond which it is split into blocks
 BROADCAST_KEYS = 50_000  # split buckets up to which their keys are broadcast
+BROADCAST_ROWS = 200_000  # rows of two longs up to which a side is broadcast
 PROBE_COST, PAIR_COST = 600.0, 1.5  # nanoseconds for a probe row and for a verified pair
 
 
@@ -261,22 +262,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = connected_components(links(marks, max_distance))
     classes = marks.groupBy("fp").agg(F.min("doc_id").alias("least"))
     classes = cut(classes.join(nodes, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("label")))
-    named = classes.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = classes.join(named, "label").select("fp", "component_id")
-    return marks.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = cut(classes.groupBy("label").agg(F.min("least").alias("component_id")))  # stored, so that a large class's rows can be split
+    named = cut(classes.join(sized(named, BROADCAST_ROWS), "label").select("fp", "component_id"))
+    return marks.join(sized(named, BROADCAST_ROWS), "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """docs without all but one document of each class: the one with the smallest id stays, with all its columns.
 
     A class is a component of texts whose sets of word shingles have a similarity of 0.8 or more. Rows are told apart by id
-    and text: rows that repeat both are one; a null id comes after all others.
+    and text: rows that repeat both are one; a null id comes after all others. Null and wordless texts are one class, texts
+    with fewer words than a shingle are copies only of the same words. An empty table gives no rows.
     """
+    name = free_name(docs, "__key")
     held = cut(similar.sets(docs, id_col, text_col, shingle))
-    classes = held.select("key", "doc_id", "s").join(similar.components(held), F.col("s") == F.col("node"), "left")
+    classes = held.select("key", "doc_id", "s").join(similar.components(held), F.col("s") == F.col("node"), "left").withColumn("class", F.coalesce("component", "s"))
+    classes = cut(classes.select("key", "doc_id", "class"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "key"))
-    stays = cut(classes.groupBy(F.coalesce("component", "s").alias("class")).agg(first.alias("f")).select(F.col("f.key").alias("__key")))
-    kept = docs.withColumn("__key", similar.row_key(id_col, text_col)).join(stays, "__key", "left_semi")
-    twice = cut(held.groupBy("key").count().where("count > 1").select(F.col("key").alias("__key")))
-    again = kept.join(twice, "__key", "left_semi").dropDuplicates(["__key"])
-    return kept.join(twice, "__key", "left_anti").union(again).select(docs.columns)
+    stays = cut(classes.groupBy("class").agg(first.alias("f"), F.count("*").alias("n")).where("n > 1").select("class", F.col("f.key").alias("stay")))
+    gone = cut(classes.join(sized(stays, BROADCAST_ROWS), "class").where("key <> stay").select(F.col("key").alias(name)).distinct())
+    twice = cut(classes.groupBy("key").count().where("count > 1").select(F.col("key").alias(name)))
+    kept = docs.withColumn(name, similar.row_key(id_col, text_col)).join(sized(gone, BROADCAST_ROWS), name, "left_anti")
+    twice = sized(twice, BROADCAST_ROWS)
+    again = kept.join(twice, name, "left_semi").dropDuplicates([name])
+    return kept.join(twice, name, "left_anti").union(again).select([F.col(f"`{c}`") for c in docs.columns])

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -32,13 +33,28 @@ from phonoframe.llm.common import cut, shared_dir
 MAGIC = b"PLN1"
 CHUNK_IDS = 1 << 16
 SLICE_BYTES = 2_000_000  # text that is tokenized at once
+FILE_BYTES = 256_000_000  # bytes of the input that one file holds, about; there are spark.sql.shuffle.partitions files at least
+FILE_DOCS = 500_000  # documents of a file; beyond it a task begins another one, so footers stay small
+READ_DOCS = 20_000  # documents that the reader gives at once
 CACHE_WORDS = 1_000_000  # words whose ids a worker remembers, in about 250 MB; the memory is emptied when full
 END_ID = 1
 
 
+# The parts of a tokenizer file for which ids can be looked up word by word
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class Encoder:
     """Ids of whole texts, word by word.
 
+    This holds for tokenizers with the normaliser and splitter named below; with another one whole texts are encoded.
     The tokenizer splits at white space, and its normalisation never looks across it, so a text's ids are those of its
     words between ASCII white space, and each different word is encoded once. It also splits between a letter and `.,;:!?`
     and lower-cases, so such marks count as words, and words of ASCII are lower-cased before they are looked up.
@@ -49,6 +65,10 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        special = all(t["special"] and not t["single_word"] and not t["lstrip"] and not t["rstrip"] and not t["normalized"] and not re.search(r"\s|[A-Za-z][.,;:!?]", t["content"]) for t in parts["added_tokens"])
+        self.by_word = special and (parts["normalizer"], parts["pre_tokenizer"]) == (NORMALIZER, SPLITTER) and not parts["truncation"] and not parts["padding"] and parts["model"]["type"] == "BPE" and not parts["model"]["dropout"]
         self.forget()
 
     def forget(self) -> None:
@@ -72,6 +92,9 @@ class Encoder:
         """(all ids, number of ids of each text); nulls count as empty."""
         import pyarrow.compute as pc
 
+        if not self.by_word:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(found), np.uint32), np.array(list(map(len, found)), np.int64)
         spaced = pc.replace_substring_regex(pc.fill_null(texts.cast(pa.large_string()), ""), "([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?])", r"\1 \2")
         words = pc.ascii_split_whitespace(spaced)
         flat = words.flatten()
@@ -178,25 +201,32 @@ def _open(folder: str):
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text", kind: str = "bit", partitions: int | None = None) -> DataFrame:
-    """Write every document's ids, each closed by id 1, and return the manifest: (shard int, path string, docs long, ids long).
+    """Write every document's ids, each closed by id 1, and return the manifest: (shard long, path string, docs long, ids long).
 
-    Shards follow each other in ascending id order; rows that share an id are ordered by text, and null ids come first. Null
+    Shards follow each other in ascending id order; rows that share an id are ordered by a hash of the text, then the text, so
+    that they may stand in several files, and null ids come first. Null
     texts are empty. A task writes to a name of its own and renames it when complete, and only files named in the manifest
     count, so retried or doubled tasks do no harm. An empty table gives no files. tokenizer: a file of the tokenizers library
     that executors find under the same path. folder: shared by all, in any store that pyarrow opens.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    n = partitions or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-_input_bytes(docs) // FILE_BYTES))
+    rows = rows.withColumn("mark", F.xxhash64("text")).repartitionByRange(n, "doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text").drop("mark")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
         from pyspark import TaskContext
 
         coder, sink, n_docs, n_ids = encoder(tokenizer), None, 0, 0
-        shard = TaskContext.get().partitionId()
+        shard = TaskContext.get().partitionId() << 32
         store, root = _open(folder)
-        path = f"{root}/ids-{shard:06d}-{uuid.uuid4().hex}.pln"
+
+        def done() -> pa.RecordBatch:
+            writer.close()
+            sink.close()
+            store.move(path + ".part", path)
+            return pa.RecordBatch.from_pylist([{"shard": shard, "path": path, "docs": n_docs, "ids": n_ids}], pa.schema([("shard", pa.int64()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
+
         for batch in batches:
             sizes = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64))))
             a = 0
@@ -205,23 +235,33 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
                 b = min(b, batch.num_rows)
                 ids, counts = coder.encode(batch.column(1).slice(a, b - a))
                 ids = np.insert(ids, np.cumsum(counts), END_ID)
+                if sink is not None and n_docs + b - a > FILE_DOCS:
+                    yield done()
+                    sink, n_docs, n_ids, shard = None, 0, 0, shard + 1
                 if sink is None:
                     store.create_dir(root, recursive=True)
+                    path = f"{root}/ids-{shard >> 32:06d}-{shard & 0xFFFFFFFF:04d}-{uuid.uuid4().hex}.pln"
                     sink = store.open_output_stream(path + ".part")
                     writer = Writer(sink, kind)
                 writer.add(ids, list(zip(batch.column(0).slice(a, b - a).to_pylist(), (counts + 1).tolist(), strict=True)))
                 n_docs, n_ids, a = n_docs + b - a, n_ids + len(ids), b
         if sink is not None:
-            writer.close()
-            sink.close()
-            store.move(path + ".part", path)
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "path": path, "docs": n_docs, "ids": n_ids}], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
+            yield done()
+
+    return cut(rows.mapInArrow(run, "shard long, path string, docs long, ids long"))
+
 
-    return cut(rows.mapInArrow(run, "shard int, path string, docs long, ids long"))
+def _input_bytes(docs: DataFrame) -> int:
+    """As Spark's statistics have it; where they don't, the texts' bytes."""
+    known = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if known < 1 << 60:
+        return known
+    return int(docs.select(F.sum(F.octet_length(F.concat_ws("", *[F.col(f"`{f.name}`") for f in docs.schema.fields if f.dataType.simpleString() == "string"])))).first()[0] or 0)
 
 
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document in the files, start counting the ids of all documents before it."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document in the files, start counting the ids of all documents before it.
+    No files: no rows. A file is read chunk by chunk, and its documents are given READ_DOCS at a time."""
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.select("shard", "path", "docs", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
     files = files.repartition(max(1, manifest.count()), "shard")
@@ -231,17 +271,22 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 out, at = {"doc_id": [], "start": [], "n_tokens": [], "ids_crc32": []}, row["base"]
+                batch_of = lambda: pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()})  # noqa: E731, B023
                 with store.open_input_file(row["path"]) as source:
                     for doc, ids in read_file(source):
                         for name, v in zip(out, (doc, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())), strict=True):
                             out[name].append(v)
                         at += len(ids)
-                yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()})
+                        if len(out["doc_id"]) >= READ_DOCS:
+                            yield batch_of()
+                            out = {k: [] for k in out}
+                yield batch_of()
 
     return files.select("path", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", kind: str = "bit", folder: str | None = None) -> DataFrame:
-    """Write the files into a new folder in the shared one, or the one named, and return what reading them back gives."""
+    """Write the files into a new folder in the shared one, or the one named, and return what reading them back gives: a row
+    per input row, null ids and repeated rows included, null texts as empty ones; an empty table gives no rows."""
     folder = folder or f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     return read_tokens(write_tokens(docs, tokenizer, folder, id_col, text_col, kind), folder)

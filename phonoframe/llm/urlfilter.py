@@ -70,8 +70,9 @@ def verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str =
     """(page_id, host, path, rule, verdict): a row per input row.
 
     redirects: more edges (src string, dst string) between urls, if any. Relative link targets are taken against the page's
-    address. Every node of the links, crawled or not, is judged by the rules. Nodes are addresses, by a hash of 64 bits; a target that many pages share is one node with many edges. Rows with a
-    null url, or without `://`, are allowed and have no aliases. Repeated rows are aliases of each other.
+    address. Every node of the links, crawled or not, is judged by the rules. Nodes are addresses, by a hash of 64 bits; a
+    target that many pages share is one node with many edges. Rows with a null url, or without `://`, are allowed and have no
+    aliases. Repeated rows are aliases of each other. An empty table gives no rows; other columns are ignored.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), (F.col(html_col) if html_col else F.lit(None)).alias("html"))
     host, path = host_path(F.col("url"))
@@ -87,10 +88,11 @@ def verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str =
     there = host_path(F.col("t"))
     judged = rows.where("named").select("node", "best").union(targets.distinct().select(F.xxhash64("t"), best_rule(*there, rules))).where("best is not null")
     linked = connected_components(edges).withColumnRenamed("node", "at")
-    rows = rows.join(linked, (F.col("node") == F.col("at")) & F.col("named"), "left").withColumn("group", F.when(F.col("named"), F.coalesce("component", "node")))
+    nameless = rows.where("not named").select("page_id", "host", "path", "best", F.lit(None).cast("boolean").alias("allowed"), F.lit(None).cast("boolean").alias("blocked"))
+    rows = rows.where("named").join(linked, F.col("node") == F.col("at"), "left").withColumn("group", F.coalesce("component", "node"))
     judged = judged.join(linked, F.col("node") == F.col("at"), "left").withColumn("group", F.coalesce("component", "node"))
-    said = judged.groupBy("group").agg(F.max(F.col("best.verdict") == "allow").alias("allowed"), F.max(F.col("best.verdict") == "block").alias("blocked")).withColumnRenamed("group", "g")
-    rows = rows.join(said, F.col("group") == F.col("g"), "left")
+    said = cut(judged.groupBy("group").agg(F.max(F.col("best.verdict") == "allow").alias("allowed"), F.max(F.col("best.verdict") == "block").alias("blocked")).withColumnRenamed("group", "g"))  # stored, so that a hub's rows can be split
+    rows = rows.join(said, F.col("group") == F.col("g"), "left").select("page_id", "host", "path", "best", "allowed", "blocked").union(nameless)
     passed = F.when(F.coalesce("allowed", F.lit(False)), "allow").when(F.coalesce("blocked", F.lit(False)), "block").otherwise("allow")
     return rows.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", passed).alias("verdict"))
 
