@@ -40,7 +40,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", s
             labels = cut_sized(labels.join(choice, F.col("label") == F.col("v"), "left").select("node", F.coalesce("r", "label").alias("label")))
     if labels is None:
         return loops.select("node", F.col("node").alias("component"))
-    least = labels.groupBy("label").agg(F.min("node").alias("component"))
+    least = cut_sized(labels.groupBy("label").agg(F.min("node").alias("component")))  # stored, so that a large component's rows can be split
     found = labels.join(least, "label").select("node", "component")
     alone = loops.join(labels.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
     return found.union(alone)
