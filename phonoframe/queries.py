@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonoframe.functions import ipatext, numbers, phones, tokens, vocab
+from phonoframe.functions.arrays import bound
 from phonoframe.operators import evaluate, lexicon
 from phonoframe.operators.stress import Lexicon, resolve
+from phonoframe.plans.build_lexicon import build
 from phonoframe.plans.phonemize import phonemize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,35 +47,55 @@ def small_lexicon(spark: SparkSession) -> Lexicon:
 
 
 def oov_audit(s: SparkSession, d: str) -> DataFrame:
-    chars = read(s, d, "documents").select("lang", F.explode(vocab.characters(F.col("text"))).alias("ch"))
-    counts = chars.groupBy("lang", "ch").agg(F.count("*").alias("n"))
-    return counts.join(F.broadcast(vocab.symbols(s)), F.col("ch") == F.col("symbol"), "left_anti")
+    unknown = F.translate("text", vocab.SYMBOLS, "")  # what is left when the table's symbols go
+    chars = read(s, d, "documents").select("lang", F.explode(vocab.characters(unknown)).alias("ch"))
+    return chars.groupBy("lang", "ch").agg(F.count("*").alias("n"))
+
+
+def first_vowel(word) -> F.Column:
+    return F.length(F.regexp_extract(word, "^[^aeiou]*", 0))
 
 
 def words_of(s: SparkSession, d: str) -> DataFrame:
     """A pseudo-lexicon: words of the documents, labelled with the place of their first vowel."""
     rows = tokens.exploded(read(s, d, "documents"), "doc_id", "text").where("kind = 'latin'")
-    return rows.select("doc_id", "pos", F.col("tok").alias("word"), (F.col("doc_id") * 1000000 + F.col("pos")).alias("seen"), F.length(F.regexp_extract("tok", "^[^aeiou]*", 0)).alias("stress"))
+    return rows.select(F.col("tok").alias("word"), F.struct("doc_id", "pos").alias("seen"), first_vowel(F.col("tok")).alias("stress"))
 
 
 def suffix_majority(s: SparkSession, d: str) -> DataFrame:
-    rows = words_of(s, d).select("seen", "stress", F.explode(lexicon.suffixes(F.col("word"))).alias("suffix"))
-    return lexicon.majority(rows, "suffix", "stress", "seen", lexicon.SUFFIX_SUPPORT, lexicon.SUFFIX_SHARE)
+    words = words_of(s, d).groupBy("word", "stress").agg(F.count("*").alias("n"), F.min("seen").alias("first"))  # different words only are cut into suffixes
+    each = words.select("stress", "n", "first", F.explode(lexicon.suffixes(F.col("word"))).alias("suffix"))
+    counts = each.groupBy("suffix", "stress").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    return lexicon.majority_of_counts(counts, "suffix", "stress", lexicon.SUFFIX_SUPPORT, lexicon.SUFFIX_SHARE)
 
 
 def context_majority(s: SparkSession, d: str) -> DataFrame:
-    rows = lexicon.contexts(words_of(s, d), "doc_id", "pos", "word").withColumn("after", F.pmod(F.length("context"), F.lit(3)))
+    latin = F.filter(tokens.tokens(F.col("text")), lambda t: tokens.kind(t) == "latin")
+    near = read(s, d, "documents").select("doc_id", F.posexplode(bound(latin, lexicon.neighbours)).alias("pos", "x"))
+    rows = near.select(F.struct("doc_id", "pos").alias("seen"), first_vowel(F.col("x.word")).alias("stress"), F.explode(lexicon.context_keys(F.col("x"))).alias("context"))
     return lexicon.majority(rows, "context", "stress", "seen", lexicon.CONTEXT_SUPPORT, lexicon.CONTEXT_SHARE)
 
 
+def total(values) -> F.Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
 def offsets(s: SparkSession, d: str) -> DataFrame:
-    rows = tokens.with_offsets(tokens.exploded(read(s, d, "documents"), "doc_id", "text"), "doc_id")
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.max("offset").alias("last_offset"), F.sum("offset").alias("sum_offset"))
+    rows = read(s, d, "documents").select("doc_id", tokens.offsets(tokens.tokens(F.col("text"))).alias("o")).where("size(o) > 0")
+    return rows.select("doc_id", F.size("o").cast("long").alias("n_tokens"), F.element_at("o", -1).alias("last_offset"), total("o").alias("sum_offset"))
 
 
 def neighbours(s: SparkSession, d: str) -> DataFrame:
-    rows = tokens.with_neighbours(tokens.exploded(read(s, d, "documents"), "doc_id", "text"), "doc_id")
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.sum(F.length("prev")).alias("prev_chars"), F.sum(F.length("next")).alias("next_chars"), F.count(F.when(F.col("prev") == F.col("next"), 1)).alias("n_same"))
+    rows = read(s, d, "documents").select("doc_id", tokens.word_list(tokens.tokens(F.col("text"))).alias("w")).where("size(w) > 0")
+    sizes = F.transform("w", F.length)
+    chars = lambda part: F.when(F.size("w") > 1, total(part))
+    same = F.size(F.filter(F.transform("w", lambda w, i: (i > 0) & F.coalesce(F.get("w", i - 1) == F.get("w", i + 1), F.lit(False))), lambda x: x))
+    return rows.select("doc_id", F.size("w").cast("long").alias("n_words"), chars(F.slice(sizes, F.lit(1), F.size("w") - 1)).alias("prev_chars"), chars(F.slice(sizes, F.lit(2), F.size("w"))).alias("next_chars"), same.cast("long").alias("n_same"))
+
+
+def latin_runs(s: SparkSession, d: str) -> DataFrame:
+    rows = read(s, d, "documents").select("doc_id", F.explode(tokens.runs_of_latin(tokens.tokens(F.col("text")))).alias("r"))
+    return rows.select("doc_id", "r.first", F.size("r.words").cast("long").alias("words"), F.length(F.array_join("r.words", " ")).alias("chars"))
 
 
 def punct_runs(s: SparkSession, d: str) -> DataFrame:
@@ -85,6 +107,66 @@ def year_text(column: str):
     return F.concat(F.lit("В "), F.year(column).cast("string"), F.lit(" году"))
 
 
+# Number words with their stress, and how they sound
+NUMBER_SOUNDS = {
+    "ноль": (None, "nolʲ"), "один": (1, "ɐdʲˈin"), "одна": (1, "ɐdnˈa"), "два": (None, "dva"), "две": (None, "dvʲe"), "три": (None, "trʲi"), "четыре": (1, "ʧɪtˈɨrʲe"), "пять": (None, "pʲætʲ"),
+    "шесть": (None, "ʂɛsʲtʲ"), "семь": (None, "sʲemʲ"), "восемь": (0, "vˈosʲɪmʲ"), "девять": (0, "dʲˈevʲɪtʲ"), "десять": (0, "dʲˈesʲɪtʲ"), "одиннадцать": (1, "ɐdʲˈinːəʦːɨtʲ"), "двенадцать": (1, "dvʲɪnˈaʦːɨtʲ"), "тринадцать": (1, "trʲɪnˈaʦːɨtʲ"),
+    "четырнадцать": (1, "ʧɪtˈɨrnəʦːɨtʲ"), "пятнадцать": (1, "pʲɪtnˈaʦːɨtʲ"), "шестнадцать": (1, "ʂɨsnˈaʦːɨtʲ"), "семнадцать": (1, "sʲɪmnˈaʦːɨtʲ"), "восемнадцать": (2, "vəsʲɪmnˈaʦːɨtʲ"), "девятнадцать": (2, "dʲɪvʲɪtnˈaʦːɨtʲ"), "двадцать": (0, "dvˈaʦːɨtʲ"), "тридцать": (0, "trʲˈiʦːɨtʲ"),
+    "сорок": (0, "sˈorək"), "пятьдесят": (2, "pʲɪdʲɪsʲˈat"), "шестьдесят": (2, "ʂɨzʲdʲɪsʲˈat"), "семьдесят": (0, "sʲˈemʲdʲɪsʲɪt"), "восемьдесят": (0, "vˈosʲɪmʲdʲɪsʲɪt"), "девяносто": (2, "dʲɪvʲɪnˈostə"), "сто": (None, "sto"), "двести": (0, "dvʲˈesʲtʲɪ"),
+    "триста": (0, "trʲˈistə"), "четыреста": (2, "ʧɪtɨrʲˈestə"), "пятьсот": (1, "pʲɪʦˈot"), "шестьсот": (1, "ʂɨsːˈot"), "семьсот": (1, "sʲɪmʲsˈot"), "восемьсот": (2, "vəsʲɪmʲsˈot"), "девятьсот": (2, "dʲɪvʲɪʦˈot"), "тысяча": (0, "tˈɨsʲɪʧə"),
+    "тысячи": (0, "tˈɨsʲɪʧɪ"), "тысяч": (0, "tˈɨsʲɪʧ"), "миллион": (2, "mʲɪlʲɪˈon"), "миллиона": (2, "mʲɪlʲɪˈonə"), "миллионов": (2, "mʲɪlʲɪˈonəf"), "миллиард": (2, "mʲɪlʲɪˈart"), "миллиарда": (2, "mʲɪlʲɪˈardə"), "миллиардов": (2, "mʲɪlʲɪˈardəf"),
+}
+# The words of "В <year> году он стал." beside those, with the tier that decides each
+YEAR_SOUNDS = {
+    "двухтысячном": ("ood-suffix", "dvʊxtɨsʲˈæʧnəm"), "девятом": ("ood-suffix", "dʲɪvʲˈatəm"), "две": ("mono", "dvʲe"), "тысячи": ("ood-suffix", "tɨsʲˈæʧɪ"),
+    "в": ("novowel", "v"), "тысяча": ("dict", "tˈɨsʲɪʧə"), "девятьсот": ("dict", "dʲɪvʲɪʦˈot"), "девяносто": ("dict", "dʲɪvʲɪnˈostə"), "году": ("dict", "ɡɐdˈu"), "он": ("mono", "on"), "стал": ("mono", "staɫ"), "первом": ("dict", "pʲˈervəm"),
+    "втором": ("dict", "ftɐrˈom"), "третьем": ("dict", "trʲˈetʲjɪm"), "четвёртом": ("yo", "ʧɪtvʲˈɵrtəm"), "пятом": ("dict", "pʲˈatəm"), "шестом": ("dict", "ʂɨstˈom"), "седьмом": ("dict", "sʲɪdʲmˈom"), "восьмом": ("dict", "vɐsʲmˈom"),
+}
+
+
+def number_lexicon(s: SparkSession) -> Lexicon:
+    """The accents of the number words; all other tables are empty."""
+    accents = [(w, k) for w, (k, _) in NUMBER_SOUNDS.items() if k is not None]
+    none = lambda schema: s.createDataFrame([], schema)
+    return Lexicon(
+        s.createDataFrame(accents, "word string, stress int"), none("e_form string, yo_form string"), none("e_form string, yo_form string"), none("word string, candidates array<int>"),
+        none("key string, stress int"), none("suffix string, stress_from_end int"), none("word string, stress int"),
+    )
+
+
+def phonemize_numbers(s: SparkSession, d: str) -> DataFrame:
+    """A different Cyrillic sentence for nearly every order: its number in words."""
+    rows = read(s, d, "orders").select("o_orderkey", numbers.number_words(F.col("o_orderkey") * 7919).alias("text"))
+    return phonemize(rows, number_lexicon(s)).select("o_orderkey", "text", "ipa")
+
+
+def phonemize_lines(s: SparkSession, d: str) -> DataFrame:
+    """Digits, signs, punctuation and Latin words in whole sentences, over the lines of all orders."""
+    rows = read(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws(" ", F.col("l_quantity").cast("int").cast("string"), F.lit("& ok,"), F.col("l_partkey").cast("string"), F.lit("+"), F.col("l_suppkey").cast("string"), F.lit("?!")).alias("text"))
+    said = phonemize(rows, number_lexicon(s))
+    return said.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("ipa")), "|").cast("binary")).alias("digest"))
+
+
+def lexicon_build(s: SparkSession, d: str) -> DataFrame:
+    """The tables that a labelled corpus gives, the corpus being number words and their sounds."""
+    sounds = F.create_map(*[F.lit(x) for w, (_, ipa) in NUMBER_SOUNDS.items() for x in (w, ipa)])
+    text = read(s, d, "orders").select(F.col("o_orderkey").alias("row"), numbers.number_words(F.col("o_orderkey") * 7919).alias("text"))
+    labels = text.withColumn("ipa", F.array_join(F.transform(F.split("text", " "), lambda w: F.element_at(sounds, w)), " "))
+    accents = s.createDataFrame([("тысяча", "т+ысяча"), ("тысячи", "т+ысячи"), ("миллион", "милли+он"), ("двести", "дв+ести"), ("ноль", "ноль")], "word string, accented string")
+    yo = s.createDataFrame([("елка", "ёлка"), ("все", "всё")], "e_form string, yo_form string")
+    hom = s.createDataFrame([("двадцать", ["двадц+ать", "дв+адцать", "двадцать"]), ("сорок", ["с+орок", "с+орок"]), ("триста", ["трист+а", "тр+иста"])], "word string, variants array<string>")
+    lex = build(accents, yo, yo.where("e_form = 'все'"), hom, labels)
+    part = lambda kind, df, key, value: df.select(F.lit(kind).alias("part"), F.col(key).alias("key"), value.cast("string").alias("value"))
+    parts = [
+        part("train", lex.train_words, "word", F.col("stress")), part("context", lex.homograph_ctx, "key", F.col("stress")), part("homograph", lex.homographs, "word", F.array_join("candidates", ",")),
+        part("accent", lex.accents, "word", F.col("stress")), part("yo", lex.yo, "e_form", F.col("yo_form")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
 def phonemize_years(s: SparkSession, d: str) -> DataFrame:
     rows = read(s, d, "orders").select("o_orderkey", F.concat(year_text("o_orderdate"), F.lit(" он стал.")).alias("text"))
     said = phonemize(rows, small_lexicon(s))
@@ -137,7 +219,7 @@ def queries() -> dict[str, Query]:
         "affricate_fold": doc(ipatext.fold_affricates), "terminal_dot": doc(ipatext.close_sentence),
         "tokens_by_kind": lambda s, d: tokens.exploded(read(s, d, "documents"), "lang", "text").groupBy("lang", "kind").agg(F.count("*").alias("n"), F.sum(F.length("tok")).alias("chars")),
         "token_offsets": offsets, "neighbours": neighbours, "punct_runs": punct_runs,
-        "latin_runs": lambda s, d: tokens.latin_runs(tokens.exploded(read(s, d, "documents"), "doc_id", "text"), "doc_id").select("doc_id", "first", "words", F.length("run").alias("chars")),
+        "latin_runs": latin_runs,
         "lexicon_majority": lambda s, d: lexicon.majority(words_of(s, d), "word", "stress", "seen"), "suffix_majority": suffix_majority, "context_majority": context_majority, "homograph_candidates": candidates,
         "number_words": order(lambda: numbers.number_words(F.col("o_orderkey") * 7919)), "number_words_feminine": lambda s, d: read(s, d, "part").select("p_partkey", numbers.number_words(F.col("p_size"), True).alias("words"), numbers.plural(F.col("p_size"), "процент", "процента", "процентов").alias("form")),
         "year_ordinals": order(lambda: numbers.expand_numbers(year_text("o_orderdate"))),
@@ -149,18 +231,25 @@ def queries() -> dict[str, Query]:
         "aligned_override": lambda s, d: s.createDataFrame([r[:3] for r in OVERRIDDEN], "source string, ipa string, accented string").select("source", "accented", ipatext.apply_overrides(F.col("source"), F.col("ipa"), F.col("accented")).alias("out")),
         "remap_ipa": lambda s, d: s.createDataFrame([r[:1] for r in REMAPPED], "ipa string").select("ipa", ipatext.remap_legacy(F.col("ipa")).alias("out")),
         "yo_mark": lambda s, d: s.createDataFrame([r[:1] for r in MARKED], "word string").select("word", ipatext.mark_yo(F.col("word")).alias("out")),
-        "phonemize_years": phonemize_years, "tier_report": tier_report,
+        "phonemize_years": phonemize_years, "tier_report": tier_report, "phonemize_numbers": phonemize_numbers, "phonemize_lines": phonemize_lines, "lexicon_build": lexicon_build,
     }
 
 
+# Number words of the SQL side, written out once more so that a wrong one in the library shows
+SMALL = "три четыре пять шесть семь восемь девять десять одиннадцать двенадцать тринадцать четырнадцать пятнадцать шестнадцать семнадцать восемнадцать девятнадцать".split()
+TENS = ["", "", "двадцать", "тридцать", "сорок", "пятьдесят", "шестьдесят", "семьдесят", "восемьдесят", "девяносто"]
+HUNDREDS = ["", "сто", "двести", "триста", "четыреста", "пятьсот", "шестьсот", "семьсот", "восемьсот", "девятьсот"]
+SCALES = [("миллиард", "миллиарда", "миллиардов"), ("миллион", "миллиона", "миллионов"), ("тысяча", "тысячи", "тысяч")]
+
+
 def _sql_list(words) -> str:
     return "[" + ", ".join("'" + w + "'" for w in words) + "]"
 
 
 def _sql_group(n: str, feminine: bool) -> str:
     unit = f"CASE WHEN ({n}) % 100 < 20 THEN ({n}) % 100 ELSE ({n}) % 10 END"
-    small = ["", *(["одна", "две"] if feminine else ["один", "два"]), *numbers.UNITS[3:]]
-    return f"nullif({_sql_list(numbers.HUNDREDS)}[({n}) // 100 + 1], ''), CASE WHEN ({n}) % 100 >= 20 THEN {_sql_list(numbers.TENS)}[({n}) % 100 // 10 + 1] END, nullif({_sql_list(small)}[({unit}) + 1], '')"
+    small = ["", *(["одна", "две"] if feminine else ["один", "два"]), *SMALL]
+    return f"nullif({_sql_list(HUNDREDS)}[({n}) // 100 + 1], ''), CASE WHEN ({n}) % 100 >= 20 THEN {_sql_list(TENS)}[({n}) % 100 // 10 + 1] END, nullif({_sql_list(small)}[({unit}) + 1], '')"
 
 
 def _sql_plural(n: str, forms) -> str:
@@ -169,7 +258,7 @@ def _sql_plural(n: str, forms) -> str:
 
 def sql_number(n: str, feminine: bool = False) -> str:
     parts = []
-    for k, forms in enumerate(numbers.SCALES):
+    for k, forms in enumerate(SCALES):
         g = f"({n}) // {1000 ** (3 - k)} % 1000"
         said = _sql_group(g, k == 2)
         if k == 2:
@@ -185,7 +274,7 @@ def _sql_ordinal(words: str, case: int) -> str:
 
 TOK = r"""t AS (SELECT *, CASE WHEN left(tok, 1) IN ('.', ',', '!', '?', ':', ';', '…') THEN 'punct' WHEN regexp_matches(tok, '^[a-z]') THEN 'latin' ELSE 'cyrillic' END AS kind FROM (
   SELECT doc_id, lang, unnest(range(len(x))) AS pos, lower(unnest(x)) AS tok FROM (SELECT doc_id, lang, regexp_extract_all(text, '(?i)[а-яё]+|[a-z]+(?:''[a-z]+)?|[.,!?:;…]+') AS x FROM documents)))"""
-WORDS = TOK + ", words AS (SELECT doc_id, pos, tok AS word, doc_id * 1000000 + pos AS seen, length(regexp_extract(tok, '^[^aeiou]*')) AS stress FROM t WHERE kind = 'latin')"
+WORDS = TOK + ", words AS (SELECT doc_id, pos, tok AS word, (doc_id, pos) AS seen, length(regexp_extract(tok, '^[^aeiou]*')) AS stress FROM t WHERE kind = 'latin')"
 
 
 def _sql_majority(source: str, key: str, support: int, share: float) -> str:
@@ -210,6 +299,17 @@ def oracle_sql() -> dict[str, str]:
     folded = f"regexp_replace({folded}, 'ts([^\\p{{L}}\\p{{N}}_]|$)', 'ʦ\\1', 'gi')"
     closing = ipatext.CLOSING.replace("'", "''")
     chars = "list_filter(string_split(regexp_replace(text, '</?[\\p{L}\\p{N}_]+>', '', 'g'), ''), lambda c: c <> '')"
+    say = lambda words: f"list_transform(string_split({words}, ' '), lambda w: sounds[w])"
+    sounds = lambda held: "MAP {" + ", ".join(f"'{w}': '{v}'" for w, v in held.items()) + "}"
+    spoken = sounds({w: ipa for w, (_, ipa) in NUMBER_SOUNDS.items()})
+    places = sounds({w: str(k) for w, (k, _) in NUMBER_SOUNDS.items() if k is not None})
+    in_year = sounds({w: ipa for w, (_, ipa) in YEAR_SOUNDS.items()})
+    in_tier = sounds({w: tier for w, (tier, _) in YEAR_SOUNDS.items()})
+    digit_ids = f"array_to_string(list_transform(list_filter(string_split(ipa, ''), lambda c: c <> ''), lambda c: greatest(strpos('{q}', c) - 1, 0)), ' ')"
+    train = f"""x AS (SELECT o_orderkey AS row, string_split({sql_number('o_orderkey * 7919')}, ' ') AS ws FROM orders),
+u AS (SELECT row, unnest(range(len(ws))) AS pos, unnest(ws) AS word, unnest(list_concat(['<s>'], ws[:-2])) AS prev, unnest(list_concat(ws[2:], ['</s>'])) AS next FROM x),
+k AS (SELECT *, CAST(({places})[word] AS INT) AS stress FROM u WHERE ({places})[word] IS NOT NULL),
+h AS (SELECT row, pos, stress, 'p|' || prev || '|' || word AS key FROM k WHERE word IN ('двадцать', 'сорок', 'триста') UNION ALL SELECT row, pos, stress, 'n|' || word || '|' || next FROM k WHERE word IN ('двадцать', 'сорок', 'триста'))"""
     day = _sql_ordinal(sql_number("day"), 5)
     year = _sql_ordinal(sql_number("year(o_orderdate)"), 3)
     return {
@@ -240,6 +340,15 @@ def oracle_sql() -> dict[str, str]:
         "subword_mean": "SELECT label, dim::INT AS dim, round(avg(x::DOUBLE), 5) AS mean FROM (SELECT label, unnest(range(len(embedding))) AS dim, unnest(embedding) AS x FROM embeddings) GROUP BY 1, 2",
         "gold_scoring": f"SELECT word, said = gold AS exact, round(levenshtein(said, gold) / length(gold), 6) AS per FROM ({rows([(w, i, i if k % 3 else i + 'x') for k, (w, i) in enumerate(FIXTURES)], 'word, gold, said')})",
         "tier_cascade": rows([(w, n, a, t) for w, n, a, t in CASCADE], "tok, next, accented, tier"),
+        "phonemize_numbers": f"SELECT o_orderkey, text, array_to_string(list_transform(string_split(text, ' '), lambda w: ({spoken})[w]), ' ') || '.' AS ipa FROM (SELECT o_orderkey, {sql_number('o_orderkey * 7919')} AS text FROM orders)",
+        "phonemize_lines": f"SELECT l_orderkey, count(*) AS n, md5(string_agg(ipa, '|' ORDER BY ipa)) AS digest FROM (SELECT l_orderkey, array_to_string(list_transform(string_split(a, ' '), lambda w: ({spoken})[w]), ' ') || ' i ok, ' || array_to_string(list_transform(string_split(b, ' '), lambda w: ({spoken})[w]), ' ') || ' plʲus ' || array_to_string(list_transform(string_split(c, ' '), lambda w: ({spoken})[w]), ' ') || '?!' AS ipa FROM (SELECT l_orderkey, {sql_number('l_quantity::INT')} AS a, {sql_number('l_partkey')} AS b, {sql_number('l_suppkey')} AS c FROM lineitem)) GROUP BY 1",
+        "lexicon_build": f"""WITH {train},
+t AS (SELECT word, stress, count(*) AS n FROM k GROUP BY 1, 2), c AS (SELECT key, stress, count(*) AS n FROM h GROUP BY 1, 2)
+SELECT 'train' AS part, word AS key, stress::VARCHAR AS value FROM t
+UNION ALL SELECT 'context', key, any_value(stress)::VARCHAR FROM c GROUP BY key HAVING sum(n) >= 2 AND count(*) = 1
+UNION ALL SELECT * FROM (VALUES ('homograph', 'двадцать', '0,1'), ('homograph', 'триста', '0,1'), ('accent', 'тысяча', '0'), ('accent', 'тысячи', '0'), ('accent', 'миллион', '2'), ('accent', 'двести', '0'), ('yo', 'елка', 'ёлка'))""",
+        "phonemize_years": f"SELECT o_orderkey, text, ipa, {digit_ids} AS ids FROM (SELECT o_orderkey, 'В ' || year(o_orderdate) || ' году он стал.' AS text, array_to_string(list_transform(string_split(lower('В ' || {year} || ' году он стал'), ' '), lambda w: ({in_year})[w]), ' ') || '.' AS ipa FROM orders)",
+        "tier_report": f"SELECT ({in_tier})[w] AS tier, count(*) AS n, count(DISTINCT w) AS words FROM (SELECT unnest(string_split(lower('В ' || {year} || ' году он стал'), ' ')) AS w FROM orders) GROUP BY 1",
         "word_to_ipa_fixture": rows([(w, i, phones.stressed_vowel(i)) for w, i in FIXTURES], "word, ipa, vowel"),
         "aligned_override": rows([(a, c, o) for a, _, c, o in OVERRIDDEN], "source, accented, out"), "remap_ipa": rows([(a.replace("'", "''"), b) for a, b in REMAPPED], "ipa, out"), "yo_mark": rows(MARKED, "word, out"),
     }
