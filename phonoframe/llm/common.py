@@ -48,6 +48,25 @@ def bounded_sample(df: DataFrame, n: int, key) -> DataFrame:
     return df.orderBy(F.xxhash64(key), key).limit(n)
 
 
+def tidy(run):
+    """run, a function over Arrow batches, that gives memory back at its end: a worker that goes on to other tasks keeps its
+    freed memory otherwise, and an executor's workers share its bound."""
+
+    def tidied(batches):
+        yield from run(batches)
+        import ctypes
+
+        import pyarrow
+
+        pyarrow.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            return
+
+    return tidied
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df doesn't use yet."""
     used = {c.lower() for c in df.columns}

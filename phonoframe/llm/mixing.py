@@ -19,6 +19,7 @@ from phonoframe.llm.common import bounded_sample, cut, free_name
 TRAIN_ROWS = 6000  # labelled documents that the classifier is fitted on, at most
 VOCABULARY = 48  # the classifier's features: the tokens that tell most about the domain
 ROUNDS = 25  # rounds of descent, at most
+BROADCAST_ROWS = 200_000  # rows of a long and an int up to which a side is broadcast
 CLOSE = 1e-4  # share of the total by which no domain may miss its target for the descent to stop
 
 
@@ -116,7 +117,8 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[int, float], id_col:
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[int, float], id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", budget: float | None = None) -> DataFrame:
     """docs, each as often as its rate says: the whole part always, the rest with that chance by a hash of id and text.
 
-    A rate is an expression of the document's own posteriors, so each row works out its own and no text is shuffled. Null texts
+    No text is shuffled: up to BROADCAST_ROWS rows that go or repeat are broadcast; beyond that each row works out its own rate,
+    which is an expression of its own posteriors. Null texts
     have no tokens and the prior's rate; repeated rows have one rate and one chance; no labels: every row once; an empty table
     gives no rows. Columns and names are those of docs.
     """
@@ -124,6 +126,12 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[int, float], id_col: s
     soft = cut(posteriors(docs, model, id_col, text_col))
     rate, _ = fit_rates(soft, model[0], targets, budget)
     chance = F.pmod(F.xxhash64("row_hash", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
+    name = free_name(docs, "__row")
+    few = cut(soft.select(F.col("row_hash").alias(name), F.floor(rate + chance).cast("int").alias(f"{name}_times")).where(F.col(f"{name}_times") != 1).distinct())
+    if few.count() <= BROADCAST_ROWS:
+        row = F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+        joined = docs.withColumn(name, row).join(F.broadcast(few), name, "left").withColumn(f"{name}_times", F.coalesce(f"{name}_times", F.lit(1))).where(F.col(f"{name}_times") > 0)
+        return joined.withColumn(name, F.explode(F.sequence(F.lit(1), F.col(f"{name}_times")))).select([F.col(f"`{c}`") for c in docs.columns])
     whole = posteriors(docs.withColumn(free_name(docs, "__whole"), F.struct(*[F.col(f"`{c}`") for c in docs.columns])), model, id_col, text_col, free_name(docs, "__whole"))
     times = whole.select("whole", F.floor(rate + chance).cast("int").alias("times")).where("times > 0")
     return times.select("whole", F.explode(F.sequence(F.lit(1), F.col("times")))).select("whole.*")

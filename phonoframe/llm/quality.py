@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phonoframe.llm.common import bounded_sample, crc_bucket, free_name
+from phonoframe.llm.common import bounded_sample, crc_bucket, free_name, tidy
 
 TRAIN_ROWS = 6000  # labelled documents that the model is fitted on, at most
 CHUNK_LINES = 64  # a training text is cut into sequences of so many lines
@@ -187,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
                 held = [part[_spread(len(part))].tobytes() for part in np.split(rows, np.cumsum(lines)[:-1])]
                 yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), batch.column(1).slice(start, len(some))], ["x", "y"])
 
-    got = texts.select("text", "__y").mapInArrow(run, "x binary, y int").collect()
+    got = texts.select("text", "__y").mapInArrow(tidy(run), "x binary, y int").collect()
     parts = [(np.frombuffer(r.x, np.float32).reshape(-1, WIDTH + 1).astype(float), r.y) for r in sorted(got, key=lambda r: (bytes(r.x), r.y))]
     return fit([(x[:, :-1], x[:, -1], y) for x, y in parts])
 
@@ -203,7 +203,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
             out = pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, score_col])
 
-    return docs.mapInArrow(run, f"{schema}, `{score_col}` double")
+    return docs.mapInArrow(tidy(run), f"{schema}, `{score_col}` double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: tuple[int, int] | None = (4, 2), threshold: float = 0.7) -> DataFrame:

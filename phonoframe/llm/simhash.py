@@ -19,11 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phonoframe.llm import similar
-from phonoframe.llm.common import bounded_sample, cut, free_name, sized
+from phonoframe.llm.common import bounded_sample, cut, free_name, sized, tidy
 from phonoframe.llm.graph import connected_components
 
 BITS = 64
-SEED = 42
 SAMPLE = 8192  # distinct fingerprints that the partitioning looks at; it affects speed only, never the links
 HOT_ROWS = 16384  # rows of one bucket beyond which it is split into blocks
 BROADCAST_KEYS = 50_000  # split buckets up to which their keys are broadcast
@@ -31,25 +30,17 @@ BROADCAST_ROWS = 200_000  # rows of two longs up to which a side is broadcast
 PROBE_COST, PAIR_COST = 600.0, 1.5  # nanoseconds for a probe row and for a verified pair
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """Unsigned fingerprint; null and wordless texts have 0, texts with fewer words than a shingle have one shingle."""
-    import xxhash
-
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z change, only \x20 \x09-\x0D split
-    if not words:
-        return 0
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        hashes = [digest(joined, SEED)]
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words])
-        first = np.concatenate(([0], ends[: len(words) - shingle])).tolist()
-        hashes = [digest(joined[a : b - 1], SEED) for a, b in zip(first, ends[shingle - 1 :].tolist(), strict=True)]
+def majority(values: np.ndarray) -> int:
+    """Unsigned fingerprint of shingle hashes: the bits that more than half of them have; of none, 0."""
     counts = np.zeros(BITS, np.int64)
-    values = np.array(hashes, np.uint64)
     for at in range(0, len(values), 1 << 16):  # bounded memory for very long texts
         counts += np.unpackbits(values[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(counts * 2 > len(values), bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: str | None, shingle: int) -> int:
+    """Unsigned fingerprint; null and wordless texts have 0, texts with fewer words than a shingle have one shingle."""
+    return majority(similar.shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -60,7 +51,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             marks = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def group_bits(sample: np.ndarray, parts: int) -> list[list[int]]:
@@ -150,7 +141,7 @@ def _meet(max_distance: int):
             if near.any():
                 found.append((a[near].view(np.int64), b[near].view(np.int64)))
                 held += len(found[-1][0])
-                if held > 1_000_000:
+                if held > 500_000:
                     found = [forest(*(np.concatenate(x) for x in zip(*found, strict=True)))]
                     held = len(found[0][0])
 
@@ -159,13 +150,13 @@ def _meet(max_distance: int):
             owners = np.add.reduceat(own.astype(np.int64), starts)
             for k in np.nonzero((owners > 0) & (sizes > 1) & (owners * sizes > 65_536))[0]:
                 rows = fp[starts[k] : starts[k] + sizes[k]]
-                step = max(1, 2_000_000 // len(rows))
+                step = max(1, 500_000 // len(rows))
                 for at in range(0, owners[k], step):
                     part = rows[at : min(at + step, owners[k])]
                     keep(np.repeat(part, len(rows)), np.tile(rows, len(part)))
             small = np.nonzero((owners > 0) & (sizes > 1) & (owners * sizes <= 65_536))[0]
             load = np.cumsum(owners[small] * sizes[small])
-            for some in np.split(small, np.searchsorted(load, np.arange(4_000_000, load[-1], 4_000_000))) if len(small) else ():
+            for some in np.split(small, np.searchsorted(load, np.arange(1_000_000, load[-1], 1_000_000))) if len(small) else ():
                 each = (owners * sizes)[some]
                 place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
                 first, wide = np.repeat(starts[some], each), np.repeat(sizes[some], each)
@@ -245,9 +236,9 @@ def links(marks: DataFrame, max_distance: int) -> DataFrame:
         )
         split = rows.join(side, ["part", "key"]).select("part", "key", F.explode(grid).alias("g"), "fp").select("part", "key", "g.i", "g.j", "g.probe", "fp")
         split = split.repartition("part", "key", "i", "j").sortWithinPartitions("part", "key", "i", "j", "probe")
-        found = split.mapInArrow(_meet(max_distance), "src long, dst long")
+        found = split.mapInArrow(tidy(_meet(max_distance)), "src long, dst long")
     cold = cold.select("part", "key", "probe", "fp").repartition("part", "key").sortWithinPartitions("part", "key", "probe")
-    met = cold.mapInArrow(_meet(max_distance), "src long, dst long")
+    met = cold.mapInArrow(tidy(_meet(max_distance)), "src long, dst long")
     return met if found is None else met.union(found)
 
 
@@ -267,16 +258,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marks.join(sized(named, BROADCAST_ROWS), "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_distance: int = 8) -> DataFrame:
     """docs without all but one document of each class: the one with the smallest id stays, with all its columns.
 
-    A class is a component of texts whose sets of word shingles have a similarity of 0.8 or more. Rows are told apart by id
+    A class is a component of texts whose sets of word shingles have a similarity of 0.8 or more. Pairs are found by fingerprints
+    within max_distance bits and, since such pairs often differ in more, by the signatures of `similar`; all are verified. Rows are told apart by id
     and text: rows that repeat both are one; a null id comes after all others. Null and wordless texts are one class, texts
     with fewer words than a shingle are copies only of the same words. An empty table gives no rows.
     """
     name = free_name(docs, "__key")
-    held = cut(similar.sets(docs, id_col, text_col, shingle))
-    classes = held.select("key", "doc_id", "s").join(similar.components(held), F.col("s") == F.col("node"), "left").withColumn("class", F.coalesce("component", "s"))
+    held = cut(similar.signed(docs, id_col, text_col, shingle, majority))
+    one = cut(held.groupBy("s").agg(F.min(F.struct("key", "n", "fp", "bands")).alias("x")).select("s", "x.*"))
+    marks = one.groupBy("fp").agg(F.min("s").alias("s"))  # sets of one fingerprint are linked with the least of them
+    twins = one.join(marks.select("fp", F.col("s").alias("t")), "fp").where("s <> t").select(F.col("s").alias("src"), F.col("t").alias("dst"))
+    ends = [marks.select(F.col("fp").alias(end), F.col("s").alias(f"s_{end}")) for end in ("src", "dst")]
+    pairs = links(one, max_distance).join(ends[0], "src").join(ends[1], "dst").select(F.col("s_src").alias("src"), F.col("s_dst").alias("dst"))
+    verify = similar.Verifier(docs, one.select("key", "s"), id_col, text_col, shingle)
+    linked = similar.components(one, twins.union(pairs), verify)
+    classes = held.select("key", "doc_id", "s").join(linked, F.col("s") == F.col("node"), "left").withColumn("class", F.coalesce("component", "s"))
     classes = cut(classes.select("key", "doc_id", "class"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "key"))
     stays = cut(classes.groupBy("class").agg(first.alias("f"), F.count("*").alias("n")).where("n > 1").select("class", F.col("f.key").alias("stay")))

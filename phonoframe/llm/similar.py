@@ -1,8 +1,11 @@
-"""All pairs of texts whose sets of word shingles have a Jaccard similarity of `least` fifths or more, as components.
-
-Two sets that similar share a shingle among the first n - ceil(n * least) + 1 of each, in any one order of all shingles
-(prefix filter), so no pair is missed. Shingles that many texts hold come last in the order; that affects speed only. Pairs
-that share such a shingle are verified on the whole sets. Sets are first compared with one leader per shingle; after that every pair of one shingle whose ends aren't joined yet is compared.
+"""Texts whose sets of word shingles have a Jaccard similarity of 0.8 or more, as components.
+
+Pairs to look at come from the fingerprints' links and from the bands of a MinHash signature: two sets share one of BANDS
+bands of ROWS least hashes with a chance of 1 - (1 - J^ROWS)^BANDS, so a pair at 0.8 is missed with one of 1e-7, and one that
+is no more alike than a shared passage makes it seldom meets. Every pair is verified on the whole sets, which are made again
+for the texts of such pairs alone. Every band has a leader; a set is compared with one leader of each of
+LEADERS parts of its bands, the one that shares most bands with others, so a large group makes no more pairs than its sets. Two similar sets whose leaders are similar to
+neither, and whose fingerprints differ too much, are not joined: README says how often that was seen.
 """
 
 from __future__ import annotations
@@ -11,117 +14,141 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phonoframe.llm.common import cut, cut_sized
+from phonoframe.llm.common import cut, cut_sized, sized, tidy
 from phonoframe.llm.graph import connected_components
 
 SEED = 42
 FIFTHS = 4  # least similarity: 4/5
-COMMON = 100_000  # shingles that are put last in the order
-
-
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """Sorted distinct hashes; texts with fewer words than a shingle have one, and so have null and wordless texts."""
+BANDS, ROWS = 40, 5
+LEADERS = 1  # more of them find little more, and each makes a pair of whole sets for every set
+BROADCAST_ROWS = 200_000  # rows of two longs up to which a side is broadcast
+_random = np.random.default_rng(SEED)
+_FLIP = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_TIMES = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = _random.integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of every shingle, repeats included; texts with fewer words than a shingle have one, and wordless and null texts
+    have none."""
     import xxhash
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z change, only \x20 \x09-\x0D split
+    if not words:
+        return np.zeros(0, np.uint64)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
         return np.array([digest(joined, SEED)], np.uint64)
     ends = np.cumsum([len(w) + 1 for w in words])
     first = np.concatenate(([0], ends[: len(words) - shingle])).tolist()
-    return np.unique(np.array([digest(joined[a : b - 1], SEED) for a, b in zip(first, ends[shingle - 1 :].tolist(), strict=True)], np.uint64))
+    return np.array([digest(joined[a : b - 1], SEED) for a, b in zip(first, ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
 
 
-def sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(key, doc_id, s, h): key is a hash of id and text, s one of the set, h the set itself; a row per input row."""
+def name_of(held: np.ndarray) -> int:
+    """A signed hash of a sorted set."""
+    import xxhash
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+    value = xxhash.xxh64_intdigest(held.tobytes(), SEED)
+    return value - (1 << 64) if value >> 63 else value
 
-        for batch in batches:
-            held = [shingle_set(t.as_py(), shingle).tobytes() for t in batch.column(2)]
-            names = np.array([xxhash.xxh64_intdigest(x, SEED) for x in held], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names), pa.array(held, pa.binary())], ["key", "doc_id", "s", "h"])
 
-    ident, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    return docs.select(row_key(id_col, text_col).alias("key"), ident.alias("doc_id"), text.alias("text")).mapInArrow(run, "key long, doc_id long, s long, h binary")
+def bands(held: np.ndarray) -> np.ndarray:
+    """The bands of a set's signature, each hashed with its number; of an empty set, of nothing."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(held), 2048):  # bounded memory for very long texts
+        np.minimum(least, ((held[a : a + 2048, None] ^ _FLIP) * _TIMES).min(0), out=least)
+    mixed = (least.reshape(BANDS, ROWS) * _MIX).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    return ((mixed ^ (mixed >> np.uint64(31))) * _MIX[0]).view(np.int64)
 
 
 def row_key(id_col: str, text_col: str):
-    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-
+    return F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
 
-def _common(held: DataFrame) -> np.ndarray:
-    """The most frequent shingles, as far as they recur within one batch of rows."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                values, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values[n > 2]), pa.array(n[n > 2])], ["token", "n"])
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(row_key(id_col, text_col).alias("key"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
-    found = held.select("h").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    return np.sort(np.array([r.token for r in found.orderBy(F.desc("n"), "token").limit(COMMON).select("token").collect()], np.int64))
 
+def signed(docs: DataFrame, id_col: str, text_col: str, shingle: int, fingerprint) -> DataFrame:
+    """(key, doc_id, s, n, fp, bands): a row per input row. key: a hash of id and text; s: one of the shingle set; n: its size; fp:
+    what `fingerprint` makes of all shingle hashes."""
 
-def _prefixes(common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, lengths, sizes = [np.zeros(0, np.int64)], [], []
-            for x in batch.column(1):
-                h = np.frombuffer(x.as_py(), np.int64)
-                if len(common):
-                    late = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
-                    h = np.concatenate((h[~late], h[late]))
-                tokens.append(h[: len(h) + (-FIFTHS * len(h) // 5) + 1])
-                lengths.append(len(tokens[-1]))
-                sizes.append(len(h))
-            s = batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.repeat(s, lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths))], ["token", "s", "n"])
-
-    return run
-
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                s, n, fp, rows = [], [], [], []
+                for t in part.column(2):
+                    values = shingle_hashes(t.as_py(), shingle)
+                    held = np.unique(values)
+                    s.append(name_of(held))
+                    n.append(len(held))
+                    fp.append(fingerprint(values))
+                    rows.append(bands(held).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s, pa.int64()), pa.array(n, pa.int32()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(rows, pa.binary())], ["key", "doc_id", "s", "n", "fp", "bands"])
 
-def alike(a: bytes, b: bytes) -> bool:
-    x, y = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both * 5 >= FIFTHS * (len(x) + len(y) - both)
+    return _rows(docs, id_col, text_col).mapInArrow(tidy(run), "key long, doc_id long, s long, n int, fp long, bands binary")
 
 
-def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """(src, dst): those of the pairs whose sets are similar enough."""
+def _band_rows(one: DataFrame) -> DataFrame:
+    """(band, s, n): a row per set and band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = pa.array([alike(a.as_py(), b.as_py()) for a, b in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
-            yield batch.select(["src", "dst"]).filter(good)
-
-    one, two = held.select(F.col("s").alias("src"), F.col("h").alias("ha")), held.select(F.col("s").alias("dst"), F.col("h").alias("hb"))
-    return cut_sized(pairs.join(one, "src").join(two, "dst").select("src", "dst", "ha", "hb").mapInArrow(run, "src long, dst long"))
-
-
-def components(held: DataFrame) -> DataFrame:
-    """(node, component) of the sets that are similar to another one; held: (s, h), repeated sets being one."""
-    tokens = held.select("s", "h").mapInArrow(_prefixes(_common(held)), "token long, s long, n int").distinct()
-    shared = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    tokens = cut_sized(tokens.join(shared, "token"))
-    some = cut_sized(held.join(tokens.select("s").distinct(), "s", "left_semi").dropDuplicates(["s"]).select("s", "h"))
+            flat = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(np.repeat(batch.column(1).to_numpy(), BANDS))], ["band", "s", "n"])
+
+    return one.select("s", "n", "bands").mapInArrow(tidy(run), "band long, s long, n int")
+
+
+def alike(a: Column, b: Column) -> Column:
+    """Whether two sets, as arrays, are similar enough; both may be empty."""
+    both = F.size(F.array_intersect(a, b))
+    return both * 5 >= FIFTHS * (F.size(a) + F.size(b) - both)
+
+
+class Verifier:
+    """Verifies pairs of sets on the sets themselves, made again from the texts."""
+
+    def __init__(self, docs: DataFrame, names: DataFrame, id_col: str, text_col: str, shingle: int) -> None:
+        """names: (key, s), one row of each set."""
+        self.rows, self.names, self.shingle = _rows(docs, id_col, text_col), names, shingle
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        """(src, dst): those of the pairs (src, dst) of names that are similar enough."""
+        shingle = self.shingle
+        pairs = cut_sized(pairs)
+
+        def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 200):
+                    part = batch.slice(at, 200)
+                    sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in part.column(1)]
+                    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int64), *sets]))], ["s", "h"])
+
+        asked = cut(pairs.select(F.explode(F.array("src", "dst")).alias("s")).distinct().join(self.names, "s").select("key", "s"))
+        held = self.rows.join(sized(asked, BROADCAST_ROWS), "key").dropDuplicates(["s"]).select("s", "text").mapInArrow(tidy(make), "s long, h array<long>")
+        held = cut_sized(held)
+        both = pairs.join(held.select(F.col("s").alias("src"), F.col("h").alias("ha")), "src").join(held.select(F.col("s").alias("dst"), F.col("h").alias("hb")), "dst")
+        return cut_sized(both.where(alike(F.col("ha"), F.col("hb"))).select("src", "dst"))
+
+
+def components(one: DataFrame, links: DataFrame, verify: Verifier) -> DataFrame:
+    """(node, component) of the sets that are similar to another one. one: (s, n, bands), a row per set; links: (src, dst), more
+    pairs to look at. A set is compared with LEADERS sets at most, so the pairs grow with the sets and not with a group's square."""
+    rows = _band_rows(one)
+    shared = cut_sized(rows.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"))
+    rows = cut_sized(rows.join(sized(shared, BROADCAST_ROWS), "band"))
+    degrees = rows.groupBy("s").agg(F.sum("c").alias("degree"))
+    part = F.pmod("band", F.lit(LEADERS))
+    # of one half of the parts the set that shares most bands leads, often the text that the others were copied from; of the others one by chance
+    rank = F.struct(F.when(part % 2 == 0, F.col("degree")).otherwise(0).alias("degree"), F.xxhash64("s", part).alias("chance"))
+    leaders = cut_sized(rows.join(degrees, "s").groupBy("band").agg(F.max_by(F.struct(F.col("s").alias("lead"), F.col("n").alias("m"), rank.alias("rank")), rank).alias("l")).select("band", "l.*"))
     fits = (F.col("n") * 5 >= F.col("m") * FIFTHS) & (F.col("m") * 5 >= F.col("n") * FIFTHS)
-    first = tokens.groupBy("token").agg(F.min(F.struct(F.col("s").alias("dst"), F.col("n").alias("m"))).alias("l")).select("token", "l.dst", "l.m")
-    pairs = tokens.join(first, "token").where((F.col("s") != F.col("dst")) & fits).select(F.col("s").alias("src"), "dst").distinct()
-    edges = _verified(pairs, some)
-    found = cut_sized(connected_components(edges))
-    rest = cut_sized(_open(tokens, found))
-    other = rest.select("token", F.col("s").alias("dst"), F.col("n").alias("m"), F.col("group").alias("g"))
-    pairs = rest.join(other, "token").where((F.col("s") < F.col("dst")) & (F.col("group") != F.col("g")) & fits).select(F.col("s").alias("src"), "dst").distinct()
-    return connected_components(edges.union(_verified(pairs, some)))
-
-
-def _open(tokens: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows of the shingles that sets of more than one component hold, with the component."""
-    rows = tokens.join(found.withColumnRenamed("node", "s"), "s", "left").select("token", "s", "n", F.coalesce("component", "s").alias("group"))
-    more = rows.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("token")
-    return rows.join(more, "token")
+    near = rows.join(sized(leaders, BROADCAST_ROWS), "band").where((F.col("s") != F.col("lead")) & fits)
+    near = near.groupBy("s", part.alias("part")).agg(F.max_by("lead", "rank").alias("lead"))
+    return connected_components(verify(near.select(F.col("s").alias("src"), F.col("lead").alias("dst")).union(links.select("src", "dst")).distinct()))

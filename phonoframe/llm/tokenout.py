@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phonoframe.llm.common import cut, shared_dir
+from phonoframe.llm.common import cut, shared_dir, tidy
 
 MAGIC = b"PLN1"
 CHUNK_IDS = 1 << 16
@@ -36,7 +36,7 @@ SLICE_BYTES = 2_000_000  # text that is tokenized at once
 FILE_BYTES = 256_000_000  # bytes of the input that one file holds, about; there are spark.sql.shuffle.partitions files at least
 FILE_DOCS = 500_000  # documents of a file; beyond it a task begins another one, so footers stay small
 READ_DOCS = 20_000  # documents that the reader gives at once
-CACHE_WORDS = 1_000_000  # words whose ids a worker remembers, in about 250 MB; the memory is emptied when full
+CACHE_WORDS = 600_000  # words whose ids a worker remembers, in about 150 MB; the memory is emptied when full
 END_ID = 1
 
 
@@ -248,7 +248,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
         if sink is not None:
             yield done()
 
-    return cut(rows.mapInArrow(run, "shard long, path string, docs long, ids long"))
+    return cut(rows.mapInArrow(tidy(run), "shard long, path string, docs long, ids long"))
 
 
 def _input_bytes(docs: DataFrame) -> int:
@@ -282,7 +282,7 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                             out = {k: [] for k in out}
                 yield batch_of()
 
-    return files.select("path", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("path", "base").mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", kind: str = "bit", folder: str | None = None) -> DataFrame:

@@ -65,7 +65,8 @@ def test_copies_are_all_pairs_of_similar_texts(spark):
             texts.append(base.copy())
             texts[-1][rng.choice(len(base), edits, replace=False)] = "zz"
     hub = rng.choice(vocabulary, 200)
-    for _ in range(150):  # one large group of near copies
+    texts.append(hub)
+    for _ in range(150):  # one large group of near copies, few of which are similar to each other
         texts.append(hub.copy())
         texts[-1][rng.choice(200, 3, replace=False)] = rng.choice(vocabulary, 3)
     held = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
