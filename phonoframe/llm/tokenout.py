@@ -36,7 +36,7 @@ SLICE_BYTES = 2_000_000  # text that is tokenized at once
 FILE_BYTES = 256_000_000  # bytes of the input that one file holds, about; there are spark.sql.shuffle.partitions files at least
 FILE_DOCS = 500_000  # documents of a file; beyond it a task begins another one, so footers stay small
 READ_DOCS = 20_000  # documents that the reader gives at once
-CACHE_WORDS = 600_000  # words whose ids a worker remembers, in about 150 MB; the memory is emptied when full
+CACHE_WORDS = 800_000  # words whose ids a worker remembers, in about 200 MB; the memory is emptied when full
 END_ID = 1
 
 
