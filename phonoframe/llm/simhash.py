@@ -128,24 +128,34 @@ def forest(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[rest], nodes[label[rest]]
 
 
-def _meet(max_distance: int):
-    """Verifies runs of rows with one bucket; rows come sorted by bucket, and its own fingerprints first."""
+def _meet(max_distance: int, labelled: bool = False):
+    """Verifies runs of rows with one bucket; rows come sorted by bucket, and its own fingerprints first. With labels, a last column,
+    all pairs of different labels are given, else a forest of all pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[np.ndarray, np.ndarray]] = []
         held = 0
 
-        def keep(a: np.ndarray, b: np.ndarray) -> None:
+        def keep(a: np.ndarray, b: np.ndarray, apart: np.ndarray | None) -> None:
             nonlocal found, held
             near = (np.bitwise_count(a ^ b) <= max_distance) & (a != b)
+            if apart is not None:
+                near &= apart
             if near.any():
                 found.append((a[near].view(np.int64), b[near].view(np.int64)))
                 held += len(found[-1][0])
-                if held > 500_000:
+                if held > 500_000 and not labelled:
                     found = [forest(*(np.concatenate(x) for x in zip(*found, strict=True)))]
                     held = len(found[0][0])
 
-        def runs(fp: np.ndarray, own: np.ndarray, starts: np.ndarray) -> None:
+        def full(least: int) -> Iterator[pa.RecordBatch]:
+            nonlocal found, held
+            if labelled and held > least:
+                ends = [np.concatenate(x) for x in zip(*found, strict=True)]
+                found, held = [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in ends], ["src", "dst"])
+
+        def runs(fp: np.ndarray, own: np.ndarray, label: np.ndarray | None, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
             sizes = np.diff(np.append(starts, len(fp)))
             owners = np.add.reduceat(own.astype(np.int64), starts)
             for k in np.nonzero((owners > 0) & (sizes > 1) & (owners * sizes > 65_536))[0]:
@@ -153,18 +163,22 @@ def _meet(max_distance: int):
                 step = max(1, 500_000 // len(rows))
                 for at in range(0, owners[k], step):
                     part = rows[at : min(at + step, owners[k])]
-                    keep(np.repeat(part, len(rows)), np.tile(rows, len(part)))
+                    names = None if label is None else label[starts[k] : starts[k] + sizes[k]]
+                    keep(np.repeat(part, len(rows)), np.tile(rows, len(part)), None if names is None else (names[at : at + len(part), None] != names).ravel())
+                    yield from full(500_000)
             small = np.nonzero((owners > 0) & (sizes > 1) & (owners * sizes <= 65_536))[0]
             load = np.cumsum(owners[small] * sizes[small])
             for some in np.split(small, np.searchsorted(load, np.arange(1_000_000, load[-1], 1_000_000))) if len(small) else ():
                 each = (owners * sizes)[some]
                 place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
                 first, wide = np.repeat(starts[some], each), np.repeat(sizes[some], each)
-                keep(fp[first + place // wide], fp[first + place % wide])
+                one, two = first + place // wide, first + place % wide
+                keep(fp[one], fp[two], None if label is None else label[one] != label[two])
+                yield from full(500_000)
 
         rest: list[pa.RecordBatch] = []
         for batch in batches:
-            bucket = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns - 2)]
+            bucket = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns - 2 - labelled)]
             change = np.zeros(batch.num_rows, bool)
             for column in bucket:
                 change[1:] |= column[1:] != column[:-1]
@@ -177,9 +191,10 @@ def _meet(max_distance: int):
                 continue
             done = pa.Table.from_batches([*rest, batch.slice(0, cuts[-1])])
             rest = [batch.slice(cuts[-1])]
-            _split(done, runs)
+            yield from _split(done, labelled, runs)
         if rest:
-            _split(pa.Table.from_batches(rest), runs)
+            yield from _split(pa.Table.from_batches(rest), labelled, runs)
+        yield from full(0)
         if found:
             a, b = forest(*(np.concatenate(x) for x in zip(*found, strict=True)))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["src", "dst"])
@@ -187,15 +202,16 @@ def _meet(max_distance: int):
     return run
 
 
-def _split(done: pa.Table, runs) -> None:
+def _split(done: pa.Table, labelled: bool, runs) -> Iterator[pa.RecordBatch]:
     if not done.num_rows:
         return
     change = np.zeros(done.num_rows, bool)
     change[0] = True
-    for k in range(done.num_columns - 2):
+    for k in range(done.num_columns - 2 - labelled):
         column = done.column(k).to_numpy()
         change[1:] |= column[1:] != column[:-1]
-    runs(done.column("fp").to_numpy().view(np.uint64), done.column("probe").to_numpy() == 0, np.nonzero(change)[0])
+    label = done.column("label").to_numpy() if labelled else None
+    yield from runs(done.column("fp").to_numpy().view(np.uint64), done.column("probe").to_numpy() == 0, label, np.nonzero(change)[0])
 
 
 def _signed(bits) -> int:
@@ -213,14 +229,18 @@ def _file(part: int, bits: list[int], t: int):
 
 
 def links(marks: DataFrame, max_distance: int) -> DataFrame:
-    """(src, dst): edges between distinct fingerprints with the same components as all pairs within max_distance bits."""
-    distinct = cut(marks.select("fp").distinct())
+    """(src, dst): edges between distinct fingerprints with the same components as all pairs within max_distance bits.
+
+    Where marks has a column label, one of each fingerprint: all pairs within max_distance bits whose labels differ, some of them repeated."""
+    labelled = "label" in marks.columns
+    names = ["fp", "label"] if labelled else ["fp"]
+    distinct = cut(marks.select(names).distinct())
     total = distinct.count()
     sample = np.array([r.fp for r in bounded_sample(distinct, SAMPLE, F.col("fp")).collect()], np.int64).view(np.uint64)
     if total < 2:
         return distinct.select(F.col("fp").alias("src"), F.col("fp").alias("dst")).limit(0)
     filed = [_file(part, bits, t) for part, (bits, t) in enumerate(allocate(sample, total, max_distance))]
-    rows = distinct.select("fp", F.explode(F.concat(*filed)).alias("x")).select("x.part", "x.key", "x.probe", "fp")
+    rows = distinct.select(*names, F.explode(F.concat(*filed)).alias("x")).select("x.part", "x.key", "x.probe", *names)
     hot = cut(rows.groupBy("part", "key").agg(F.count("*").alias("n"), F.sum(1 - F.col("probe")).alias("owners")).where(f"n > {HOT_ROWS} and owners > 0").select("part", "key", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("blocks")))
     n_hot = hot.count()
     cold, found = rows, None
@@ -234,11 +254,11 @@ def links(marks: DataFrame, max_distance: int) -> DataFrame:
             F.transform(F.when(F.col("probe") == 0, every).otherwise(F.array().cast("array<int>")), lambda j: F.struct(block.alias("i"), j.alias("j"), F.lit(0).alias("probe"))),
             F.transform(every, lambda i: F.struct(i.alias("i"), block.alias("j"), F.lit(1).alias("probe"))),
         )
-        split = rows.join(side, ["part", "key"]).select("part", "key", F.explode(grid).alias("g"), "fp").select("part", "key", "g.i", "g.j", "g.probe", "fp")
+        split = rows.join(side, ["part", "key"]).select("part", "key", F.explode(grid).alias("g"), *names).select("part", "key", "g.i", "g.j", "g.probe", *names)
         split = split.repartition("part", "key", "i", "j").sortWithinPartitions("part", "key", "i", "j", "probe")
-        found = split.mapInArrow(tidy(_meet(max_distance)), "src long, dst long")
-    cold = cold.select("part", "key", "probe", "fp").repartition("part", "key").sortWithinPartitions("part", "key", "probe")
-    met = cold.mapInArrow(tidy(_meet(max_distance)), "src long, dst long")
+        found = split.mapInArrow(tidy(_meet(max_distance, labelled)), "src long, dst long")
+    cold = cold.select("part", "key", "probe", *names).repartition("part", "key").sortWithinPartitions("part", "key", "probe")
+    met = cold.mapInArrow(tidy(_meet(max_distance, labelled)), "src long, dst long")
     return met if found is None else met.union(found)
 
 
@@ -262,19 +282,29 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs without all but one document of each class: the one with the smallest id stays, with all its columns.
 
     A class is a component of texts whose sets of word shingles have a similarity of 0.8 or more. Pairs are found by fingerprints
-    within max_distance bits and, since such pairs often differ in more, by the signatures of `similar`; all are verified. Rows are told apart by id
+    within max_distance bits and, since such pairs often differ in more, by the signatures of `similar`; all of them whose texts are
+    in different classes yet are verified. Rows are told apart by id
     and text: rows that repeat both are one; a null id comes after all others. Null and wordless texts are one class, texts
     with fewer words than a shingle are copies only of the same words. An empty table gives no rows.
     """
     name = free_name(docs, "__key")
     held = cut(similar.signed(docs, id_col, text_col, shingle, majority))
-    one = cut(held.groupBy("s").agg(F.min(F.struct("key", "n", "fp", "bands")).alias("x")).select("s", "x.*"))
+    one = cut(held.groupBy("s").agg(F.min(F.struct("key", "n", "fp", "bands", "sketch")).alias("x")).select("s", "x.*"))
     marks = one.groupBy("fp").agg(F.min("s").alias("s"))  # sets of one fingerprint are linked with the least of them
     twins = one.join(marks.select("fp", F.col("s").alias("t")), "fp").where("s <> t").select(F.col("s").alias("src"), F.col("t").alias("dst"))
     ends = [marks.select(F.col("fp").alias(end), F.col("s").alias(f"s_{end}")) for end in ("src", "dst")]
     pairs = links(one, max_distance).join(ends[0], "src").join(ends[1], "dst").select(F.col("s_src").alias("src"), F.col("s_dst").alias("dst"))
     verify = similar.Verifier(docs, one.select("key", "s"), id_col, text_col, shingle)
-    linked = similar.components(one, twins.union(pairs), verify)
+
+    def others(labelled: DataFrame) -> DataFrame:  # the forest left out links, and those that it kept may fail on the sets
+        sets = labelled.select("fp", F.struct("s", "n", "c", "sketch").alias("x"))
+        label = F.when(F.min("c") == F.max("c"), F.min("c")).otherwise(F.xxhash64("fp", F.lit("mixed")))
+        met = links(labelled.groupBy("fp").agg(label.alias("label")), max_distance).distinct()
+        met = met.union(met.select("dst", "src")).distinct()
+        met = met.join(sets.select(F.col("fp").alias("src"), F.col("x").alias("a")), "src").join(sets.select(F.col("fp").alias("dst"), F.col("x").alias("b")), "dst")
+        return met.where(similar.possible("a", "b")).select(F.col("a.s").alias("src"), F.col("b.s").alias("dst"))
+
+    linked = similar.components(one, twins.union(pairs), verify, others)
     classes = held.select("key", "doc_id", "s").join(linked, F.col("s") == F.col("node"), "left").withColumn("class", F.coalesce("component", "s"))
     classes = cut(classes.select("key", "doc_id", "class"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "key"))

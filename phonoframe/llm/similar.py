@@ -3,9 +3,10 @@
 Pairs to look at come from the fingerprints' links and from the bands of a MinHash signature: two sets share one of BANDS
 bands of ROWS least hashes with a chance of 1 - (1 - J^ROWS)^BANDS, so a pair at 0.8 is missed with one of 1e-7, and one that
 is no more alike than a shared passage makes it seldom meets. Every pair is verified on the whole sets, which are made again
-for the texts of such pairs alone. Every band has a leader; a set is compared with one leader of each of
-LEADERS parts of its bands, the one that shares most bands with others, so a large group makes no more pairs than its sets. Two similar sets whose leaders are similar to
-neither, and whose fingerprints differ too much, are not joined: README says how often that was seen.
+for the texts of such pairs alone. Every band has a leader; a set is first compared with one leader of each of
+LEADERS parts of its bands, the one that shares most bands with others, so a large group makes no more pairs than its sets. Then all
+pairs of a band, and all linked fingerprints, whose sets are in different components yet are looked at: a component's own pairs
+can't change it, so this is as complete as verifying every pair. Parity sketches tell most pairs that are too unlike, without error.
 """
 
 from __future__ import annotations
@@ -24,6 +25,10 @@ SEED = 42
 FIFTHS = 4  # least similarity: 4/5
 BANDS, ROWS = 40, 5
 LEADERS = 1  # more of them find little more, and each makes a pair of whole sets for every set
+SKETCH = 512  # bits of a parity sketch: two sets differ in as many members at least as their sketches in bits
+BLOCK = 1024  # rows of one band beyond which its pairs are made block by block
+FEW = 200_000  # pairs that are verified at once; of more, ROUNDS times one for each end, since components that join need no others
+ROUNDS = 3
 BROADCAST_ROWS = 200_000  # rows of two longs up to which a side is broadcast
 _random = np.random.default_rng(SEED)
 _FLIP = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -64,6 +69,12 @@ def bands(held: np.ndarray) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint64(31))) * _MIX[0]).view(np.int64)
 
 
+def sketch(held: np.ndarray) -> np.ndarray:
+    """SKETCH bits of a set: whether the number of its members under each is odd."""
+    odd = np.bincount((held % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def row_key(id_col: str, text_col: str):
     return F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
 
@@ -73,14 +84,14 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str, shingle: int, fingerprint) -> DataFrame:
-    """(key, doc_id, s, n, fp, bands): a row per input row. key: a hash of id and text; s: one of the shingle set; n: its size; fp:
-    what `fingerprint` makes of all shingle hashes."""
+    """(key, doc_id, s, n, fp, bands, sketch): a row per input row. key: a hash of id and text; s: one of the shingle set; n: its
+    size; fp: what `fingerprint` makes of all shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                s, n, fp, rows = [], [], [], []
+                s, n, fp, rows, odd = [], [], [], [], []
                 for t in part.column(2):
                     values = shingle_hashes(t.as_py(), shingle)
                     held = np.unique(values)
@@ -88,20 +99,22 @@ def signed(docs: DataFrame, id_col: str, text_col: str, shingle: int, fingerprin
                     n.append(len(held))
                     fp.append(fingerprint(values))
                     rows.append(bands(held).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s, pa.int64()), pa.array(n, pa.int32()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(rows, pa.binary())], ["key", "doc_id", "s", "n", "fp", "bands"])
+                    odd.append(sketch(held))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s, pa.int64()), pa.array(n, pa.int32()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(rows, pa.binary()), pa.array(odd, pa.list_(pa.int64()))], ["key", "doc_id", "s", "n", "fp", "bands", "sketch"])
 
-    return _rows(docs, id_col, text_col).mapInArrow(tidy(run), "key long, doc_id long, s long, n int, fp long, bands binary")
+    return _rows(docs, id_col, text_col).mapInArrow(tidy(run), "key long, doc_id long, s long, n int, fp long, bands binary, sketch array<long>")
 
 
-def _band_rows(one: DataFrame) -> DataFrame:
-    """(band, s, n): a row per set and band."""
+def _band_rows(one: DataFrame, other: str = "n") -> DataFrame:
+    """(band, s, n): a row per set and band; other: another column in the place of n."""
+    kind = dict(one.dtypes)[other]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(np.repeat(batch.column(1).to_numpy(), BANDS))], ["band", "s", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(np.repeat(batch.column(1).to_numpy(), BANDS))], ["band", "s", other])
 
-    return one.select("s", "n", "bands").mapInArrow(tidy(run), "band long, s long, n int")
+    return one.select("s", other, "bands").mapInArrow(tidy(run), f"band long, s long, {other} {kind}")
 
 
 def alike(a: Column, b: Column) -> Column:
@@ -137,9 +150,39 @@ class Verifier:
         return cut_sized(both.where(alike(F.col("ha"), F.col("hb"))).select("src", "dst"))
 
 
-def components(one: DataFrame, links: DataFrame, verify: Verifier) -> DataFrame:
-    """(node, component) of the sets that are similar to another one. one: (s, n, bands), a row per set; links: (src, dst), more
-    pairs to look at. A set is compared with LEADERS sets at most, so the pairs grow with the sets and not with a group's square."""
+def fits(n: Column, m: Column) -> Column:
+    return (n * 5 >= m * FIFTHS) & (m * 5 >= n * FIFTHS)
+
+
+def possible(a: str, b: str) -> Column:
+    """Whether sets of two components, as structs (s, n, c, sketch), may be similar enough: never false for such that are. A pair is
+    told once. Sets of n and m members at 4/5 differ in (n + m) / 9 members at most."""
+    x, y = F.col(f"{a}.sketch"), F.col(f"{b}.sketch")
+    differ = sum((F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))) for k in range(SKETCH // 64)), F.lit(0))
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (F.col(f"{a}.c") < F.col(f"{b}.c")) & fits(n, m) & (differ * (5 + FIFTHS) <= (n + m) * (5 - FIFTHS))
+
+
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(F.col(a), F.col(b)).alias("src"), F.greatest(F.col(a), F.col(b)).alias("dst")]
+
+
+def crossing(labelled: DataFrame) -> DataFrame:
+    """(src, dst): all possible pairs that share a band or a fingerprint and are of different components. labelled: one, with c."""
+    rows = _band_rows(labelled, "c").union(labelled.select(F.xxhash64("fp", F.lit("fp")), "s", "c"))
+    mixed = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+    mixed = cut_sized(mixed.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    held = rows.select("band", "s").join(sized(mixed, BROADCAST_ROWS), "band").join(labelled.select("s", F.struct("s", "n", "c", "sketch").alias("x")), "s")
+    held = cut_sized(held.select("band", "x", F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int").alias("block"), F.sequence(F.lit(0), F.col("blocks") - 1).alias("all")))
+    left = held.select("band", F.col("block").alias("i"), F.explode("all").alias("j"), F.col("x").alias("a"))
+    right = held.select("band", F.explode("all").alias("i"), F.col("block").alias("j"), F.col("x").alias("b"))
+    return left.join(right, ["band", "i", "j"]).where(possible("a", "b")).select(_pair("a.s", "b.s"))
+
+
+def components(one: DataFrame, links: DataFrame, verify: Verifier, others) -> DataFrame:
+    """(node, component) of the sets that are similar to another one. one: (s, n, fp, bands, sketch), a row per set; links: (src,
+    dst), more pairs to look at first. others: from one with a column c, the component, to more pairs (src, dst) between components.
+    A set is first compared with LEADERS sets at most, so those pairs grow with the sets and not with a group's square."""
     rows = _band_rows(one)
     shared = cut_sized(rows.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"))
     rows = cut_sized(rows.join(sized(shared, BROADCAST_ROWS), "band"))
@@ -148,7 +191,30 @@ def components(one: DataFrame, links: DataFrame, verify: Verifier) -> DataFrame:
     # of one half of the parts the set that shares most bands leads, often the text that the others were copied from; of the others one by chance
     rank = F.struct(F.when(part % 2 == 0, F.col("degree")).otherwise(0).alias("degree"), F.xxhash64("s", part).alias("chance"))
     leaders = cut_sized(rows.join(degrees, "s").groupBy("band").agg(F.max_by(F.struct(F.col("s").alias("lead"), F.col("n").alias("m"), rank.alias("rank")), rank).alias("l")).select("band", "l.*"))
-    fits = (F.col("n") * 5 >= F.col("m") * FIFTHS) & (F.col("m") * 5 >= F.col("n") * FIFTHS)
-    near = rows.join(sized(leaders, BROADCAST_ROWS), "band").where((F.col("s") != F.col("lead")) & fits)
+    near = rows.join(sized(leaders, BROADCAST_ROWS), "band").where((F.col("s") != F.col("lead")) & fits(F.col("n"), F.col("m")))
     near = near.groupBy("s", part.alias("part")).agg(F.max_by("lead", "rank").alias("lead"))
-    return connected_components(verify(near.select(F.col("s").alias("src"), F.col("lead").alias("dst")).union(links.select("src", "dst")).distinct()))
+    tried = cut_sized(near.select(F.col("s").alias("src"), F.col("lead").alias("dst")).union(links.select("src", "dst")).select(_pair("src", "dst")).distinct())
+    edges = verify(tried)
+    found = cut_sized(connected_components(edges))
+    labelled = cut_sized(one.select("s", "n", "fp", "bands", "sketch").join(found, F.col("s") == F.col("node"), "left").select("s", "n", "fp", "bands", "sketch", F.coalesce("component", "s").alias("c")))
+    pairs = cut_sized(crossing(labelled).union(others(labelled).select(_pair("src", "dst"))).distinct().join(tried, ["src", "dst"], "left_anti"))
+    turn = 0
+    while n := pairs.count():
+        some = n > FEW and turn < ROUNDS
+        tried = pairs
+        if some:
+            chance = F.xxhash64("src", "dst", F.lit(turn))
+            tried = pairs.groupBy("src").agg(F.min_by("dst", chance).alias("dst")).union(pairs.groupBy("dst").agg(F.min_by("src", chance).alias("src")).select("src", "dst"))
+            tried = cut_sized(tried.distinct())
+        new = verify(tried)
+        turn += 1
+        if not new.isEmpty():
+            edges = edges.union(new)
+            found = cut_sized(connected_components(edges))
+        if not some:  # all were verified
+            break
+        pairs = pairs.join(tried, ["src", "dst"], "left_anti")
+        ends = [found.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}")) for end in ("src", "dst")]
+        pairs = pairs.join(ends[0], "src", "left").join(ends[1], "dst", "left")
+        pairs = cut_sized(pairs.where(F.coalesce("c_src", "src") != F.coalesce("c_dst", "dst")).select("src", "dst"))
+    return found

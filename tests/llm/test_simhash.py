@@ -103,3 +103,55 @@ def test_bands_miss_nothing_at_the_threshold():
     assert missed == 0
     apart = [similar.bands(np.unique(rng.integers(0, 2**63, 90, dtype=np.uint64))) for _ in range(40)]
     assert not any((x == y).any() for k, x in enumerate(apart) for y in apart[:k])
+
+
+def least_of_components(nodes, near):
+    label = {x: x for x in nodes}
+    change = True
+    while change:
+        change = False
+        for a in nodes:
+            for b in nodes:
+                if label[a] < label[b] and near(a, b):
+                    label[b], change = label[a], True
+    return label
+
+
+@pytest.mark.parametrize("few", [200_000, 5])
+def test_copies_of_a_text_that_is_not_there(spark, monkeypatch, few):
+    """Near copies at about 0.8 of each other: leaders, and a forest of fingerprints, leave some of a class apart."""
+    monkeypatch.setattr(similar, "FEW", few, raising=False)
+    monkeypatch.setattr(similar, "BLOCK", 4, raising=False)
+    rng = random.Random(5)
+    texts = {}
+    for k in range(8):
+        base = [f"w{k}_{j}" for j in range(100)]
+        for j in range(30):
+            words = list(base)
+            for at in rng.sample(range(100), 2):
+                words[at] = f"x{k}_{rng.randint(0, 9)}"
+            at = rng.randint(0, 10)
+            texts[100 * k + j] = " ".join(words[at : at + 90])
+    sets = {i: {tuple(t.split()[a : a + 5]) for a in range(86)} for i, t in texts.items()}
+    label = least_of_components(list(texts), lambda a, b: a // 100 == b // 100 and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_copies(docs).collect()) == sorted(set(label.values()))
+
+
+@pytest.mark.parametrize("hot", [16384, 8])
+def test_all_links_between_labels(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT_ROWS", hot)
+    rng = np.random.default_rng(3)
+    base = int(rng.integers(0, 2**62))
+    marks = sorted({base ^ sum(1 << int(k) for k in rng.choice(16, rng.integers(0, 5), replace=False)) for _ in range(80)})
+    frame = spark.createDataFrame([(m, m % 3) for m in marks], "fp long, label long")
+    got = {(min(r), max(r)) for r in simhash.links(frame, 4).collect()}
+    assert got == {(a, b) for a in marks for b in marks if a < b and a % 3 != b % 3 and (a ^ b).bit_count() <= 4}
+
+
+def test_sketches_never_turn_away_similar_sets():
+    rng = np.random.default_rng(8)
+    for n in (1, 9, 90, 900):
+        both = rng.integers(0, 2**63, 8 * n, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate((both, rng.integers(0, 2**63, n, dtype=np.uint64)))) for _ in range(2))  # 8 of 10 alike
+        assert int(np.bitwise_count((similar.sketch(a) ^ similar.sketch(b)).view(np.uint64)).sum()) * 9 <= len(a) + len(b)
