@@ -15,12 +15,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phonoframe.llm import similar
-from phonoframe.llm.common import bounded_sample, cut, free_name, sized, tidy
-from phonoframe.llm.graph import connected_components
+from phonoframe.llm.common import bounded_sample, cut, cut_sized, free_name, sized, tidy
+from phonoframe.llm.graph import connected_components, forest
 
 BITS = 64
 SAMPLE = 8192  # distinct fingerprints that the partitioning looks at; it affects speed only, never the links
@@ -109,33 +109,19 @@ def allocate(sample: np.ndarray, total: int, max_distance: int) -> list[tuple[li
     return best[1]
 
 
-def forest(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A set of edges with the same components as (one, two), a row per node that isn't its component's root."""
-    nodes, ends = np.unique(np.concatenate((one, two)), return_inverse=True)
-    a, b = ends[: len(one)], ends[len(one) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        for end in (label[a], label[b], a, b):
-            np.minimum.at(new, end, low)
-        while not np.array_equal(jump := new[new], new):
-            new = jump
-        if np.array_equal(new, label):
-            break
-        label = new
-    rest = label != np.arange(len(nodes))
-    return nodes[rest], nodes[label[rest]]
-
-
-def _meet(max_distance: int, labelled: bool = False):
-    """Verifies runs of rows with one bucket; rows come sorted by bucket, and its own fingerprints first. With labels, a last column,
-    all pairs of different labels are given, else a forest of all pairs."""
+def _meet(max_distance: int, kind: str = "forest"):
+    """Verifies runs of rows with one bucket; rows come sorted by bucket, and its own fingerprints first. Gives a forest of all pairs
+    or, where rows have a label as last column, all "pairs" of different labels, or the "ends" of such pairs alone."""
+    labelled = kind != "forest"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[np.ndarray, np.ndarray]] = []
         held = 0
 
+        def fewer() -> tuple[np.ndarray, np.ndarray]:
+            one, two = (np.concatenate(x) for x in zip(*found, strict=True))
+            return forest(one, two) if kind == "forest" else (ends := np.unique(np.concatenate((one, two))), ends)
+
         def keep(a: np.ndarray, b: np.ndarray, apart: np.ndarray | None) -> None:
             nonlocal found, held
             near = (np.bitwise_count(a ^ b) <= max_distance) & (a != b)
@@ -144,13 +130,13 @@ def _meet(max_distance: int, labelled: bool = False):
             if near.any():
                 found.append((a[near].view(np.int64), b[near].view(np.int64)))
                 held += len(found[-1][0])
-                if held > 500_000 and not labelled:
-                    found = [forest(*(np.concatenate(x) for x in zip(*found, strict=True)))]
+                if held > 500_000 and kind != "pairs":
+                    found = [fewer()]
                     held = len(found[0][0])
 
         def full(least: int) -> Iterator[pa.RecordBatch]:
             nonlocal found, held
-            if labelled and held > least:
+            if kind == "pairs" and held > least:
                 ends = [np.concatenate(x) for x in zip(*found, strict=True)]
                 found, held = [], 0
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in ends], ["src", "dst"])
@@ -196,7 +182,7 @@ def _meet(max_distance: int, labelled: bool = False):
             yield from _split(pa.Table.from_batches(rest), labelled, runs)
         yield from full(0)
         if found:
-            a, b = forest(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            a, b = fewer()
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["src", "dst"])
 
     return run
@@ -232,13 +218,17 @@ def links(marks: DataFrame, max_distance: int) -> DataFrame:
     """(src, dst): edges between distinct fingerprints with the same components as all pairs within max_distance bits.
 
     Where marks has a column label, one of each fingerprint: all pairs within max_distance bits whose labels differ, some of them repeated."""
-    labelled = "label" in marks.columns
-    names = ["fp", "label"] if labelled else ["fp"]
+    return _search(marks, max_distance, "pairs" if "label" in marks.columns else "forest")[0]
+
+
+def _search(marks: DataFrame, max_distance: int, kind: str) -> tuple[DataFrame, list[Column]]:
+    """What _meet gives, as (src, dst), and the buckets of a fingerprint."""
+    names = ["fp"] if kind == "forest" else ["fp", "label"]
     distinct = cut(marks.select(names).distinct())
     total = distinct.count()
     sample = np.array([r.fp for r in bounded_sample(distinct, SAMPLE, F.col("fp")).collect()], np.int64).view(np.uint64)
     if total < 2:
-        return distinct.select(F.col("fp").alias("src"), F.col("fp").alias("dst")).limit(0)
+        return distinct.select(F.col("fp").alias("src"), F.col("fp").alias("dst")).limit(0), []
     filed = [_file(part, bits, t) for part, (bits, t) in enumerate(allocate(sample, total, max_distance))]
     rows = distinct.select(*names, F.explode(F.concat(*filed)).alias("x")).select("x.part", "x.key", "x.probe", *names)
     hot = cut(rows.groupBy("part", "key").agg(F.count("*").alias("n"), F.sum(1 - F.col("probe")).alias("owners")).where(f"n > {HOT_ROWS} and owners > 0").select("part", "key", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("blocks")))
@@ -256,10 +246,22 @@ def links(marks: DataFrame, max_distance: int) -> DataFrame:
         )
         split = rows.join(side, ["part", "key"]).select("part", "key", F.explode(grid).alias("g"), *names).select("part", "key", "g.i", "g.j", "g.probe", *names)
         split = split.repartition("part", "key", "i", "j").sortWithinPartitions("part", "key", "i", "j", "probe")
-        found = split.mapInArrow(tidy(_meet(max_distance, labelled)), "src long, dst long")
+        found = split.mapInArrow(tidy(_meet(max_distance, kind)), "src long, dst long")
     cold = cold.select("part", "key", "probe", *names).repartition("part", "key").sortWithinPartitions("part", "key", "probe")
-    met = cold.mapInArrow(tidy(_meet(max_distance, labelled)), "src long, dst long")
-    return met if found is None else met.union(found)
+    met = cold.mapInArrow(tidy(_meet(max_distance, kind)), "src long, dst long")
+    return met if found is None else met.union(found), filed
+
+
+def linked_buckets(sets: DataFrame, max_distance: int) -> DataFrame:
+    """(bucket, s, probe): the buckets of all sets whose fingerprint has a link to one of another component. sets: (s, fp, c), c the
+    component. The search gives such fingerprints only, not their pairs: a group's links grow with its square."""
+    label = F.when(F.min("c") == F.max("c"), F.min("c")).otherwise(F.xxhash64("fp", F.lit("mixed")))
+    met, filed = _search(sets.groupBy("fp").agg(label.alias("label")), max_distance, "ends")
+    if not filed:
+        return sets.select(F.col("s").alias("bucket"), "s", F.lit(0).alias("probe")).limit(0)
+    ends = cut_sized(met.select(F.col("src").alias("fp")).distinct())
+    rows = sets.join(sized(ends, BROADCAST_ROWS), "fp").select("s", F.explode(F.concat(*filed)).alias("x"))
+    return rows.select(F.xxhash64("x.part", "x.key").alias("bucket"), "s", "x.probe")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4) -> DataFrame:
@@ -290,21 +292,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     name = free_name(docs, "__key")
     held = cut(similar.signed(docs, id_col, text_col, shingle, majority))
     one = cut(held.groupBy("s").agg(F.min(F.struct("key", "n", "fp", "bands", "sketch")).alias("x")).select("s", "x.*"))
-    marks = one.groupBy("fp").agg(F.min("s").alias("s"))  # sets of one fingerprint are linked with the least of them
-    twins = one.join(marks.select("fp", F.col("s").alias("t")), "fp").where("s <> t").select(F.col("s").alias("src"), F.col("t").alias("dst"))
-    ends = [marks.select(F.col("fp").alias(end), F.col("s").alias(f"s_{end}")) for end in ("src", "dst")]
-    pairs = links(one, max_distance).join(ends[0], "src").join(ends[1], "dst").select(F.col("s_src").alias("src"), F.col("s_dst").alias("dst"))
     verify = similar.Verifier(docs, one.select("key", "s"), id_col, text_col, shingle)
-
-    def others(labelled: DataFrame) -> DataFrame:  # the forest left out links, and those that it kept may fail on the sets
-        sets = labelled.select("fp", F.struct("s", "n", "c", "sketch").alias("x"))
-        label = F.when(F.min("c") == F.max("c"), F.min("c")).otherwise(F.xxhash64("fp", F.lit("mixed")))
-        met = links(labelled.groupBy("fp").agg(label.alias("label")), max_distance).distinct()
-        met = met.union(met.select("dst", "src")).distinct()
-        met = met.join(sets.select(F.col("fp").alias("src"), F.col("x").alias("a")), "src").join(sets.select(F.col("fp").alias("dst"), F.col("x").alias("b")), "dst")
-        return met.where(similar.possible("a", "b")).select(F.col("a.s").alias("src"), F.col("b.s").alias("dst"))
-
-    linked = similar.components(one, twins.union(pairs), verify, others)
+    linked = similar.components(one, verify, lambda sets: linked_buckets(sets, max_distance))
     classes = held.select("key", "doc_id", "s").join(linked, F.col("s") == F.col("node"), "left").withColumn("class", F.coalesce("component", "s"))
     classes = cut(classes.select("key", "doc_id", "class"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "key"))

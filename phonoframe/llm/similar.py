@@ -5,8 +5,9 @@ bands of ROWS least hashes with a chance of 1 - (1 - J^ROWS)^BANDS, so a pair at
 is no more alike than a shared passage makes it seldom meets. Every pair is verified on the whole sets, which are made again
 for the texts of such pairs alone. Every band has a leader; a set is first compared with one leader of each of
 LEADERS parts of its bands, the one that shares most bands with others, so a large group makes no more pairs than its sets. Then all
-pairs of a band, and all linked fingerprints, whose sets are in different components yet are looked at: a component's own pairs
-can't change it, so this is as complete as verifying every pair. Parity sketches tell most pairs that are too unlike, without error.
+pairs of a band, and of a bucket of linked fingerprints, whose sets are in different components yet are looked at: a component's own
+pairs can't change it, so this is as complete as verifying every pair. Parity sketches, which stand in the buckets' rows, tell most
+pairs that are too unlike, without error, before a pair becomes a row.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ SEED = 42
 FIFTHS = 4  # least similarity: 4/5
 BANDS, ROWS = 40, 5
 LEADERS = 1  # more of them find little more, and each makes a pair of whole sets for every set
-SKETCH = 512  # bits of a parity sketch: two sets differ in as many members at least as their sketches in bits
-BLOCK = 1024  # rows of one band beyond which its pairs are made block by block
-FEW = 200_000  # pairs that are verified at once; of more, ROUNDS times one for each end, since components that join need no others
-ROUNDS = 3
+SKETCH = 512, 4096  # fewest and most bits of a parity sketch: two sets differ in as many members at least as their sketches in bits
+BLOCK = 1024  # rows of one bucket beyond which its pairs are looked at block by block
+FEW = 128  # possible pairs that a set gives in one block; with more, the nearest first, since components that join need no others
+ROUNDS = 8  # of such pairs; then all that are left
+DRIVER_EDGES = 200_000  # edges up to which the driver joins the components
 BROADCAST_ROWS = 200_000  # rows of two longs up to which a side is broadcast
 _random = np.random.default_rng(SEED)
 _FLIP = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -70,11 +72,31 @@ def bands(held: np.ndarray) -> np.ndarray:
 
 
 def sketch(held: np.ndarray) -> np.ndarray:
-    """SKETCH bits of a set: whether the number of its members under each is odd."""
-    odd = np.bincount((held % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    """Bits of a set: whether the number of its members under each is odd. Twice as many bits as members, or the next power of 2, within
+    SKETCH; a sketch of half the size is one half XOR the other."""
+    size = min(max(SKETCH[0], 1 << (2 * len(held) - 1).bit_length()), SKETCH[1]) if len(held) else SKETCH[0]
+    odd = np.bincount((held % np.uint64(size)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _folded(sketches: pa.ListArray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Words of each sketch, and by their number sketches of so many words; rows that have fewer are empty there."""
+    flat, words = sketches.flatten().to_numpy().view(np.uint64), sketches.value_lengths().to_numpy().astype(np.int64)
+    starts = np.cumsum(words) - words
+    out: dict[int, np.ndarray] = {}
+    for size in sorted(np.unique(words).tolist(), reverse=True):
+        rows = np.zeros((len(words), size), np.uint64)
+        if out:
+            wide = out[min(out)]
+            while wide.shape[1] > size:
+                wide = wide[:, : wide.shape[1] // 2] ^ wide[:, wide.shape[1] // 2 :]
+            rows |= wide
+        own = np.nonzero(words == size)[0]
+        rows[own] = flat[starts[own, None] + np.arange(size)]
+        out[size] = rows
+    return words, out
+
+
 def row_key(id_col: str, text_col: str):
     return F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
 
@@ -105,16 +127,15 @@ def signed(docs: DataFrame, id_col: str, text_col: str, shingle: int, fingerprin
     return _rows(docs, id_col, text_col).mapInArrow(tidy(run), "key long, doc_id long, s long, n int, fp long, bands binary, sketch array<long>")
 
 
-def _band_rows(one: DataFrame, other: str = "n") -> DataFrame:
-    """(band, s, n): a row per set and band; other: another column in the place of n."""
-    kind = dict(one.dtypes)[other]
+def _band_rows(one: DataFrame) -> DataFrame:
+    """(band, s, n): a row per set and band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(np.repeat(batch.column(1).to_numpy(), BANDS))], ["band", "s", other])
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(np.repeat(batch.column(1).to_numpy(), BANDS))], ["band", "s", "n"])
 
-    return one.select("s", other, "bands").mapInArrow(tidy(run), f"band long, s long, {other} {kind}")
+    return one.select("s", "n", "bands").mapInArrow(tidy(run), "band long, s long, n int")
 
 
 def alike(a: Column, b: Column) -> Column:
@@ -154,34 +175,89 @@ def fits(n: Column, m: Column) -> Column:
     return (n * 5 >= m * FIFTHS) & (m * 5 >= n * FIFTHS)
 
 
-def possible(a: str, b: str) -> Column:
-    """Whether sets of two components, as structs (s, n, c, sketch), may be similar enough: never false for such that are. A pair is
-    told once. Sets of n and m members at 4/5 differ in (n + m) / 9 members at most."""
-    x, y = F.col(f"{a}.sketch"), F.col(f"{b}.sketch")
-    differ = sum((F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))) for k in range(SKETCH // 64)), F.lit(0))
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (F.col(f"{a}.c") < F.col(f"{b}.c")) & fits(n, m) & (differ * (5 + FIFTHS) <= (n + m) * (5 - FIFTHS))
-
-
 def _pair(a: str, b: str) -> list[Column]:
     return [F.least(F.col(a), F.col(b)).alias("src"), F.greatest(F.col(a), F.col(b)).alias("dst")]
 
 
-def crossing(labelled: DataFrame) -> DataFrame:
-    """(src, dst): all possible pairs that share a band or a fingerprint and are of different components. labelled: one, with c."""
-    rows = _band_rows(labelled, "c").union(labelled.select(F.xxhash64("fp", F.lit("fp")), "s", "c"))
-    mixed = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-    mixed = cut_sized(mixed.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    held = rows.select("band", "s").join(sized(mixed, BROADCAST_ROWS), "band").join(labelled.select("s", F.struct("s", "n", "c", "sketch").alias("x")), "s")
-    held = cut_sized(held.select("band", "x", F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int").alias("block"), F.sequence(F.lit(0), F.col("blocks") - 1).alias("all")))
-    left = held.select("band", F.col("block").alias("i"), F.explode("all").alias("j"), F.col("x").alias("a"))
-    right = held.select("band", F.explode("all").alias("i"), F.col("block").alias("j"), F.col("x").alias("b"))
-    return left.join(right, ["band", "i", "j"]).where(possible("a", "b")).select(_pair("a.s", "b.s"))
+def _apart(few: int | None):
+    """Possible pairs of rows (bucket, i, j, side, probe, s, c, n, sketch), sorted by bucket, i, j and side, that share bucket, i and j:
+    of different components c, not both probes, and not too unlike; never without such that are similar enough, as sets of n and m
+    members at 4/5 differ in (n + m) / 9 members at most. A row gives its `few` nearest, and more says whether it has others."""
+
+    def pairs(done: pa.Table) -> Iterator[pa.RecordBatch]:
+        bucket, i, j, side, probe, s, c, n = (done.column(k).to_numpy() for k in range(8))
+        words, odd = _folded(done.column(8).combine_chunks())
+        change = np.ones(len(s), bool)
+        change[1:] = (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        starts, n = np.nonzero(change)[0], n.astype(np.int64)
+        run, end = np.cumsum(change) - 1, np.append(starts[1:], len(s))
+        whole = i == j
+        first = np.where(whole, np.arange(len(s)) + 1, (end - np.add.reduceat(side, starts))[run])
+        load = np.where(side == 0, end[run] - first, 0)
+        total = np.cumsum(load)
+        for some in np.split(np.arange(len(s)), np.searchsorted(total, np.arange(500_000, total[-1], 500_000))):
+            each = load[some]
+            one = np.repeat(some, each)
+            two = first[one] + np.arange(len(one)) - np.repeat(np.cumsum(each) - each, each)
+            fit = (c[one] != c[two]) & ((probe[one] == 0) | (probe[two] == 0)) & fits(n[one], n[two])
+            one, two = one[fit], two[fit]
+            differ, least = np.zeros(len(one), np.int64), np.minimum(words[one], words[two])
+            for size, marks in odd.items():
+                like = np.nonzero(least == size)[0]
+                for part in np.array_split(like, len(like) * size // 4_000_000 + 1):  # bounded memory
+                    differ[part] = np.bitwise_count(marks[one[part]] ^ marks[two[part]]).sum(1, dtype=np.int64)
+            fit = differ * (5 + FIFTHS) <= (n[one] + n[two]) * (5 - FIFTHS)
+            one, two, differ = one[fit], two[fit], differ[fit]
+            more = np.zeros(len(one), bool)
+            if few is not None and len(one):
+                order = np.lexsort((differ, one))
+                one, two = one[order], two[order]
+                begin = np.nonzero(np.append(True, one[1:] != one[:-1]))[0]
+                count = np.diff(np.append(begin, len(one)))
+                near = np.arange(len(one)) - np.repeat(begin, count) < few
+                more = np.repeat(count > few, count)[near]
+                one, two = one[near], two[near]
+            if len(one):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s[one], s[two])), pa.array(np.maximum(s[one], s[two])), pa.array(more)], ["src", "dst", "more"])
 
-
-def components(one: DataFrame, links: DataFrame, verify: Verifier, others) -> DataFrame:
-    """(node, component) of the sets that are similar to another one. one: (s, n, fp, bands, sketch), a row per set; links: (src,
-    dst), more pairs to look at first. others: from one with a column c, the component, to more pairs (src, dst) between components.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            at = [[column[0].as_py() for column in (rest[0] if rest else batch).columns[:3]], [column[batch.num_rows - 1].as_py() for column in batch.columns[:3]]] if batch.num_rows else None
+            if at is None:
+                continue
+            if at[0] == at[1]:  # the batch ends within the bucket that rest began with
+                rest.append(batch)
+                continue
+            last = batch.num_rows - 1
+            keys = [column.to_numpy() for column in batch.columns[:3]]
+            same = np.logical_and.reduce([k == k[last] for k in keys])
+            begin = int(np.argmax(same))
+            yield from pairs(pa.Table.from_batches([*rest, batch.slice(0, begin)]))
+            rest = [batch.slice(begin)]
+        if rest:
+            yield from pairs(pa.Table.from_batches(rest))
+
+    return run
+
+
+def crossing(one: DataFrame, found: DataFrame, meets: DataFrame, few: int | None) -> DataFrame:
+    """(src, dst, more): the possible pairs of sets of different components that share a bucket, see _apart; some of them repeated.
+    found: (node, component); meets: (bucket, s, probe)."""
+    rows = meets.join(sized(found, BROADCAST_ROWS), F.col("s") == F.col("node"), "left").select("bucket", "s", "probe", F.coalesce("component", "s").alias("c"))
+    mixed = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(1 - F.col("probe")).alias("owners"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi and owners > 0")
+    mixed = cut_sized(mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    held = rows.join(sized(mixed, BROADCAST_ROWS), "bucket").withColumn("block", F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int"))
+    held = held.join(one.select("s", "n", "sketch"), "s").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = (F.col("block") > F.col("other")).cast("int")
+    held = held.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), side.alias("side"), "probe", "s", "c", "n", "sketch")
+    held = held.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
+    return held.mapInArrow(tidy(_apart(few)), "src long, dst long, more boolean")
+
+
+def components(one: DataFrame, verify: Verifier, others) -> DataFrame:
+    """(node, component) of the sets that are similar to another one. one: (s, n, fp, bands, sketch), a row per set; others: from (s,
+    fp, c), c the component after the first round, to more buckets (bucket, s, probe), of which two probes are no pair.
     A set is first compared with LEADERS sets at most, so those pairs grow with the sets and not with a group's square."""
     rows = _band_rows(one)
     shared = cut_sized(rows.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"))
@@ -193,28 +269,25 @@ def components(one: DataFrame, links: DataFrame, verify: Verifier, others) -> Da
     leaders = cut_sized(rows.join(degrees, "s").groupBy("band").agg(F.max_by(F.struct(F.col("s").alias("lead"), F.col("n").alias("m"), rank.alias("rank")), rank).alias("l")).select("band", "l.*"))
     near = rows.join(sized(leaders, BROADCAST_ROWS), "band").where((F.col("s") != F.col("lead")) & fits(F.col("n"), F.col("m")))
     near = near.groupBy("s", part.alias("part")).agg(F.max_by("lead", "rank").alias("lead"))
-    tried = cut_sized(near.select(F.col("s").alias("src"), F.col("lead").alias("dst")).union(links.select("src", "dst")).select(_pair("src", "dst")).distinct())
+    tried = cut_sized(near.select(F.col("s").alias("src"), F.col("lead").alias("dst")).select(_pair("src", "dst")).distinct())
     edges = verify(tried)
-    found = cut_sized(connected_components(edges))
-    labelled = cut_sized(one.select("s", "n", "fp", "bands", "sketch").join(found, F.col("s") == F.col("node"), "left").select("s", "n", "fp", "bands", "sketch", F.coalesce("component", "s").alias("c")))
-    pairs = cut_sized(crossing(labelled).union(others(labelled).select(_pair("src", "dst"))).distinct().join(tried, ["src", "dst"], "left_anti"))
-    turn = 0
-    while n := pairs.count():
-        some = n > FEW and turn < ROUNDS
-        tried = pairs
-        if some:
-            chance = F.xxhash64("src", "dst", F.lit(turn))
-            tried = pairs.groupBy("src").agg(F.min_by("dst", chance).alias("dst")).union(pairs.groupBy("dst").agg(F.min_by("src", chance).alias("src")).select("src", "dst"))
-            tried = cut_sized(tried.distinct())
-        new = verify(tried)
-        turn += 1
-        if not new.isEmpty():
+    found = cut_sized(connected_components(edges, few=DRIVER_EDGES))
+    sets = one.join(sized(found, BROADCAST_ROWS), F.col("s") == F.col("node"), "left").select("s", "fp", F.coalesce("component", "s").alias("c"))
+    meets = rows.select(F.col("band").alias("bucket"), "s", F.lit(0).alias("probe")).union(one.select(F.xxhash64("fp", F.lit("fp")), "s", F.lit(0))).union(others(sets))
+    few: int | None = FEW
+    for turn in range(ROUNDS + 1):
+        few = None if turn == ROUNDS else few
+        met = cut_sized(crossing(one, found, meets, few))
+        more = met.agg(F.max("more")).first()[0]
+        if more is None:  # no pairs at all
+            break
+        pairs = cut_sized(met.select("src", "dst").distinct().join(tried, ["src", "dst"], "left_anti"))
+        new = verify(pairs)
+        if joined := not new.isEmpty():
             edges = edges.union(new)
-            found = cut_sized(connected_components(edges))
-        if not some:  # all were verified
+            found = cut_sized(connected_components(edges, few=DRIVER_EDGES))
+        if not more:  # all were verified
             break
-        pairs = pairs.join(tried, ["src", "dst"], "left_anti")
-        ends = [found.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}")) for end in ("src", "dst")]
-        pairs = pairs.join(ends[0], "src", "left").join(ends[1], "dst", "left")
-        pairs = cut_sized(pairs.where(F.coalesce("c_src", "src") != F.coalesce("c_dst", "dst")).select("src", "dst"))
+        tried = tried.union(pairs)
+        few = few if joined else None
     return found

@@ -155,3 +155,77 @@ def test_sketches_never_turn_away_similar_sets():
         both = rng.integers(0, 2**63, 8 * n, dtype=np.uint64)
         a, b = (np.unique(np.concatenate((both, rng.integers(0, 2**63, n, dtype=np.uint64)))) for _ in range(2))  # 8 of 10 alike
         assert int(np.bitwise_count((similar.sketch(a) ^ similar.sketch(b)).view(np.uint64)).sum()) * 9 <= len(a) + len(b)
+
+
+def test_rows_grow_with_a_groups_texts_and_not_its_pairs(spark, monkeypatch):
+    """Texts with near fingerprints and shared bands, most of them at less than 0.8 of each other: few pairs become rows."""
+    rng = random.Random(6)
+    base = [f"w{j}" for j in range(300)]
+    texts = {}
+    for k in range(200):
+        words = list(base)
+        for at in rng.sample(range(300), 6):
+            words[at] = f"x{k}_{at}"
+        texts[k] = " ".join(words)
+    for k in (11, 42):  # one class of three
+        texts[k] = texts[7].replace("w150", f"y{k}")
+    sets = {i: {tuple(t.split()[a : a + 5]) for a in range(296)} for i, t in texts.items()}
+    label = least_of_components(list(texts), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    made, plain = [], type(spark.range(0)).mapInArrow
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, *a, **b: (made.append(plain(self, *a, **b)), made[-1])[1])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_copies(docs).collect()) == sorted(set(label.values()))
+    assert {label[11], label[42]} == {7}
+    marks = [simhash.fingerprint(t, 5) for t in texts.values()]
+    assert sum((a ^ b).bit_count() <= 8 for k, a in enumerate(marks) for b in marks[:k]) > 2000
+    counts = [frame.count() for frame in made if "src" in frame.columns]
+    assert counts and max(counts) <= 5 * len(texts)
+
+
+@pytest.mark.parametrize("few", [None, 2])
+def test_possible_pairs_of_a_bucket(monkeypatch, few):
+    rng = np.random.default_rng(12)
+    common = rng.integers(0, 2**63, 90, dtype=np.uint64)
+    monkeypatch.setattr(similar, "SKETCH", (64, 512))
+    rows, sets = [], []
+    for s in range(300):
+        held = np.unique(np.concatenate((common[: rng.integers(50, 91)], rng.integers(0, 2**63, rng.integers(0, 15), dtype=np.uint64))))
+        sets.append(held)
+        b, i, j = int(rng.integers(0, 3)), 0, 0
+        if b == 2:  # two blocks against each other
+            j = 1
+        rows.append((b, i, j, int(rng.integers(0, 2)) if j else 0, int(rng.integers(0, 2)), s, int(rng.integers(0, 4)), len(held), similar.sketch(held).tolist()))
+    rows.sort(key=lambda r: r[:4])
+    table = similar.pa.table({k: [r[n] for r in rows] for n, k in enumerate(("bucket", "i", "j", "side", "probe", "s", "c", "n", "sketch"))})
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a[:3] == b[:3] and a[6] != b[6] and not (a[4] and b[4]) and similar.fits(a[7], b[7]) and (a[3] < b[3] if a[2] else rows.index(a) < rows.index(b)):
+                size = 64 * min(len(a[8]), len(b[8]))
+                one, two = (np.bincount((sets[x] % np.uint64(size)).astype(int), minlength=size) % 2 for x in (a[5], b[5]))
+                differ = int((one != two).sum())
+                both = len(np.intersect1d(sets[a[5]], sets[b[5]]))
+                assert 9 * differ <= a[7] + b[7] or 5 * both < 4 * (a[7] + b[7] - both)
+                if 9 * differ <= a[7] + b[7]:
+                    want.setdefault(a[5], []).append((differ, b[5]))
+    assert {len(r[8]) for r in rows} == {2, 4}  # two sizes
+    for size in (7, 1000):
+        got = {}
+        for batch in similar._apart(few)(iter(table.to_batches(max_chunksize=size))):
+            for r in batch.to_pylist():
+                got[r["src"], r["dst"]] = r["more"]
+        if few is None:
+            assert set(got) == {(min(a, b), max(a, b)) for a, near in want.items() for _, b in near} and not any(got.values())
+        else:
+            assert len(got) == sum(min(few, len(near)) for near in want.values()) and any(got.values())
+            dist = {(min(a, b), max(a, b)): (d, sorted(x for x, _ in near)[min(few, len(near)) - 1]) for a, near in want.items() for d, b in near}
+            assert all(dist[pair][0] <= dist[pair][1] for pair in got)
+
+
+def test_small_graphs_are_joined_by_the_driver(spark):
+    rng = np.random.default_rng(2)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(900, 900), (None, 3)]
+    frame = spark.createDataFrame(edges, "src long, dst long")
+    rows = [sorted(tuple(r) for r in graph.connected_components(frame, few=few).collect()) for few in (0, 10, 10_000)]
+    assert rows[0] == rows[1] == rows[2] and (900, 900) in rows[2]
+    assert graph.connected_components(frame.limit(0), few=10).count() == 0
